@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import chat, packing
+from inkstrata.llm import chat, linededup, packing, simhash
 from inkstrata.llm.common import table
 
 
@@ -14,14 +14,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op10_chat_formatting)
+    f.__name__: f for f in (
+        op1_best_fit_packing,
+        op3_simhash_near_dedup,
+        op4_line_dedup,
+        op10_chat_formatting,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
