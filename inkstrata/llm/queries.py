@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import chat, linededup, packing, simhash
+from inkstrata.llm import chat, chunkdedup, hostrules, linededup, packing, simhash
 from inkstrata.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_runs(table(spark, sf_dir, "documents"))
 
 
+def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -29,13 +37,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing,
+        op2_substring_dedup,
         op3_simhash_near_dedup,
         op4_line_dedup,
+        op6_host_quality_rules,
         op10_chat_formatting,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
+    "op6_host_quality_rules": hostrules.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
