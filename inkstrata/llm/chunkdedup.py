@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from inkstrata.llm.common import bounded, utf8
 
-WINDOW, MIN_BYTES, MAX_BYTES, ZERO_BITS = 32, 32, 256, 5
-MIN_SPAN = 80
+WINDOW, MIN_BYTES, MAX_BYTES, ZERO_BITS = 32, 16, 256, 5
+MIN_SPAN = 64
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=32) for b in range(256)], dtype=np.uint32)
 CHUNKS = "doc_id long, start int, end int, d1 long, d2 long, again boolean"
 
@@ -61,8 +61,11 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     add, found, k, pos = out.append, ends.tolist(), 0, 0
     found.append(len(data) + 1)
     for end in offsets[1:].tolist():
+        full = pos + WINDOW  # before, the window would reach into the text before
         while (b := found[k]) < end:
             k += 1
+            if b < full:
+                continue
             while b - pos > MAX_BYTES:
                 pos = whole(pos + MAX_BYTES)
                 add(pos)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import chat, chunkdedup, hostrules, linededup, packing, simhash
+from inkstrata.llm import chat, chunkdedup, decontam, hostrules, linededup, packing, simhash
 from inkstrata.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_runs(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_substring_dedup,
         op3_simhash_near_dedup,
         op4_line_dedup,
+        op5_benchmark_decontamination,
         op6_host_quality_rules,
         op10_chat_formatting,
     )

@@ -25,7 +25,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,20 +36,14 @@ from pyspark.sql import functions as F
 
 from inkstrata.llm.common import bounded, cut_lineage
 from inkstrata.llm.components import components
+from inkstrata.llm.words import normal, split_words
 
 BITS, SEGMENTS, RADIUS = 128, 5, 20
-HAN = re.compile(r"[㐀-鿿]")
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-def normal(word: str) -> str:
-    """Lower case, without the signs before and after."""
-    return word.lower() if word.isalnum() else EDGES.sub("", word.lower())
 
 
 def fingerprint_bytes(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints as (n, bits // 8) bytes and a mask of the texts that have one."""
-    raw = [set(HAN.sub(r" \g<0> ", t).split()) if t else set() for t in texts]
+    raw = [set(split_words(t)) for t in texts]
     index: dict[str, int] = {}
     known = index.setdefault
     place = {w: known(normal(w), len(index)) for w in set().union(*raw)}.__getitem__
