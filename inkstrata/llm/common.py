@@ -14,17 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    Only where that is unset and the master is local, as in tests, a temporary
+    folder takes its place.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(folder)
+        return folder
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="inkstrata-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute df once and keep it in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstrata.llm import chat, chunkdedup, decontam, hostrules, linededup, packing, simhash
+import corpus_pipeline
+from inkstrata.llm import chat, chunkdedup, decontam, hostrules, htmlextract, linededup, packing, quality, simhash, tokencount
 from inkstrata.llm.common import table
 
 
@@ -34,6 +35,18 @@ def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -46,9 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_dedup,
         op5_benchmark_decontamination,
         op6_host_quality_rules,
+        op7_html_extraction,
+        op8_token_counts,
+        op9_quality_classifier,
         op10_chat_formatting,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
