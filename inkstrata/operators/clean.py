@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkstrata.functions import text as X
 from inkstrata.functions.types import STYLED
@@ -160,13 +161,13 @@ def join_broken(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mark_letter_footnotes(text: pd.Series) -> pd.Series:
     """letter_footnotes over the LF lines of a text."""
     return text.map(lambda t: None if t is None else "\n".join(letter_footnotes(t.split("\n"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_broken_lines(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else join_broken(t))
 
@@ -177,8 +178,13 @@ def squeeze_blank_lines(text: Column) -> Column:
 
 
 def join_wrong_splits(text: Column) -> Column:
-    """Join a line of 31 characters or more that ends in Han to the next that begins with Han, over one empty line at most."""
-    return F.regexp_replace(text, r"(?dm)(.{30,}[一-鿿])\n{1,2}([一-鿿])", "$1$2")
+    """Join a line of 31 characters or more that ends in Han to the next that begins with Han, over one empty line at most.
+
+    What follows a join counts from the end of the match. A match can begin there or at
+    the start of a line only, as a later start makes the line shorter; saying so keeps
+    the search linear.
+    """
+    return F.regexp_replace(text, r"(?dm)(?:^|\G)(.{30,}[一-鿿])\n{1,2}([一-鿿])", "$1$2")
 
 
 def strip_line_heads(text: Column) -> Column:
