@@ -85,7 +85,7 @@ def groups(lines: Column, starts: Callable[[Column, Column], Column]) -> Column:
             ),
         )
 
-    return let(lines, build)
+    return F.when(lines.isNotNull(), let(lines, build))
 
 
 def first_line(c: Column, most: int) -> Column:

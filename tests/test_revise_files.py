@@ -1,0 +1,151 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkstrata.operators import report, revise, split
+from inkstrata.sources import convert, files
+from inkstrata.streaming import segments as stream
+
+SEGMENTS = [("a", 0, "one teh", "one teh", None), ("a", 1, "two", "more two", "note"), ("a", 2, "", None, ""), ("b", 0, "x\ny", None, None)]
+FIELDS = "doc_id string, seg_no int, target string, context string, reference string"
+
+
+def flaky(bad: str, times: int):
+    """A client that fails for a text at first. Its class is local, so that it reaches the workers by value; it counts by task."""
+
+    class Flaky:
+        left = times
+
+        def revise(self, messages, key):
+            if bad in messages[-1]["content"] and self.left > 0:
+                self.left -= 1
+                raise ValueError("busy")
+            return messages[-1]["content"].upper().replace("TARGET", "target")
+
+    return Flaky()
+
+
+def test_messages(spark):
+    segs = spark.createDataFrame(SEGMENTS, FIELDS)
+    got = {(r.doc_id, r.seg_no): r for r in revise.prompts(segs, "P").collect()}
+    turns = lambda k: [(m.role, m.content) for m in got[k].messages]
+    assert turns(("a", 0)) == [("system", "P"), ("assistant", ""), ("user", "<target>\none teh\n</target>")]
+    ref = "<reference>\nnote\n</reference>\n<context>\nmore two\n</context>"
+    assert turns(("a", 1)) == [("system", "P"), ("assistant", ""), ("user", ref), ("assistant", ""), ("user", "<target>\ntwo\n</target>")]
+    assert len({r.key for r in got.values()}) == 4
+    df = spark.createDataFrame([("c", "r"), ("", "r"), (None, "")], "c string, r string")
+    whole = [r.x for r in df.select(revise.file_reference_block(F.col("c"), F.col("r")).alias("x")).collect()]
+    assert whole == ["<reference>\nr\n</reference>\n\n<context>\nc\n</context>", "<reference>\nr\n</reference>\n\n", "\n\n"]
+
+
+def test_retries_and_pace():
+    waits = []
+    assert revise.with_retries(lambda: None, sleep=waits.append) == (None, "empty answer") and waits == [5, 8]
+    calls = iter([ValueError("x"), "", "ok"])
+
+    def call():
+        if isinstance(x := next(calls), Exception):
+            raise x
+        return x
+
+    assert revise.with_retries(call, sleep=waits.append) == ("ok", None)
+    now, slept = [0.0], []
+    pace = revise.Pace(15, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    pace.wait(), pace.wait()
+    now[0] += 10
+    pace.wait()
+    assert slept == [4.0]
+
+
+def test_clients():
+    assert isinstance(revise.client_for("offline-1"), revise.ReplacingClient) and revise.client_for("nothing") is None
+
+
+def test_resume(spark, tmp_path):
+    segs, path = spark.createDataFrame(SEGMENTS, FIELDS), str(tmp_path / "results")
+    options = {"per_minute": 1e6, "max_concurrent": 1, "retry_wait": lambda k: 0}
+    first = revise.revise_pending(segs, path, flaky("two", 3), 1, 2, **options)
+    got = {(r.doc_id, r.seg_no): (r.output, r.error) for r in first.collect()}
+    assert got == {("a", 0): ("ONE TEH", None), ("a", 1): (None, "ValueError: busy"), ("b", 0): ("X\nY", None)}
+    second = revise.revise_pending(segs, path, flaky("none", 0), [2, 3, 3], **options)
+    assert {(r.doc_id, r.seg_no): r.output for r in revise.latest(second).collect()} == {("a", 0): "ONE TEH", ("a", 1): "TWO", ("a", 2): "", ("b", 0): "X\nY"}
+    assert revise.pending(segs, second).count() == 0
+    with pytest.raises(ValueError):
+        revise.pending(segs, second, 0)
+    events = files.result_events(first, "r1")
+    files.append_events(events, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).groupBy("event").count().where("event = 'failed'").first()["count"] == 1
+
+
+def test_reports(spark):
+    segs = spark.createDataFrame(SEGMENTS, FIELDS)
+    done = spark.createDataFrame([("a", 0, "ONE", 1), ("a", 0, "OLD", 0), ("a", 2, "", 0)], "doc_id string, seg_no int, output string, at int")
+    joined = report.with_results(segs, revise.latest(done))
+    got = {r.doc_id: r for r in report.progress(joined).collect()}
+    assert (got["a"].segments, got["a"].done, got["a"].percent, got["a"].chars, got["a"].done_chars, got["a"].percent_chars) == (3, 2, 66.67, 10, 7, 70.0)
+    assert (got["b"].done, got["b"].percent_chars) == (0, 0.0)
+    assert {(r.doc_id, r.seg_no, r.head) for r in report.pending_list(joined).collect()} == {("a", 1, "two"), ("b", 0, "x")}
+    assert {r.doc_id: (r.text, r.pending) for r in report.merged_text(joined).collect()} == {"a": ("ONE\n\n", 1), "b": ("", 1)}
+    assert {r.doc_id: r.text for r in report.review_text(segs).collect()} == {"a": "one teh\n---\ntwo\n---\n", "b": "x\ny"}
+    assert {(r.doc_id, r.seg_no): (r.length, r.context_length, r["head"]) for r in report.segment_list(segs).collect()}[("a", 2)] == (0, 0, "")
+    assert {r.doc_id: json.loads(r.text) for r in files.results_json(joined).collect()} == {"a": ["ONE", None, ""], "b": [None]}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "第 一+.md").write_bytes("﻿a\r\nb\rc\n".encode())
+    (tmp_path / "第 一+.toc.md").write_text("- x")
+    docs = files.read_documents(spark, str(tmp_path / "*+.md"))
+    assert [tuple(r) for r in docs.collect()] == [("第 一+", "a\nb\nc\n")]
+    assert [tuple(r) for r in files.read_tocs(spark, str(tmp_path / "*.toc.md")).collect()] == [("第 一+", "- x")]
+    segs = spark.createDataFrame(SEGMENTS, FIELDS)
+    files.write_documents(files.segments_json(segs), str(tmp_path / "json"), ".json")
+    again = files.read_segments(spark, str(tmp_path / "json"))
+    assert sorted(map(tuple, again.collect())) == sorted(SEGMENTS)
+    assert json.loads((tmp_path / "json" / "b.json").read_text()) == [{"target": "x\ny"}]
+    (tmp_path / "res").mkdir()
+    (tmp_path / "res" / "a.json").write_text('["p", null, "q"]')
+    (tmp_path / "res" / "c.json").write_text("{broken")
+    results = files.read_results(spark, str(tmp_path / "res"))
+    assert sorted(map(tuple, results.collect()), key=str) == [("a", 0, "p"), ("a", 1, None), ("a", 2, "q")]
+    assert files.checked_results(segs, results).count() == 3
+    with pytest.raises(Exception, match="differ in number"):
+        files.checked_results(segs, results.where("seg_no < 2")).collect()
+    row = files.read_triples(spark, str(tmp_path / "*+.md"), reference=str(tmp_path / "*.toc.md")).first()
+    assert tuple(row) == ("第 一+", "a\nb\nc\n", None, "- x")
+
+
+def test_names_and_template(spark):
+    df = spark.createDataFrame([("p/x.y.md",), ("none",)], "p string")
+    assert [tuple(r.n) for r in df.select(files.three_names(F.col("p")).alias("n")).collect()] == [
+        ("p/x.y.marked.md", "p/x.y.titles_marked.md", "p/x.y.titles_original.md"), ("none.marked", "none.titles_marked", "none.titles_original")]
+    assert df.select(files.fill_template("<A> and <B>", {"<A>": F.col("p"), "<B>": F.lit("z")}).alias("t")).first().t == "p/x.y.md and z"
+
+
+def test_markdown(spark):
+    page = """<html><head><title>t</title></head><body><h2>A &amp; B</h2><p>one <b>two</b>
+      <a href="u">l</a><br>x</p><ul><li>i<li>j<ol><li>k</ol></ul><blockquote>q</blockquote><pre>c  d
+ e</pre><table><tr><th>h<th>g<tr><td>1|2</td></tr></table><script>no</script><img src="s" alt="a"></body>"""
+    want = ["## A & B", "one **two** [l](u)\nx", "- i", "- j", "    1. k", "> q", "```\nc  d\n e\n```"]
+    got = convert.to_markdown(page).split("\n\n")
+    assert got[:7] == want and got[-1] == "![a](s)"
+    assert convert.to_markdown(None) is None and convert.to_markdown("") == ""
+
+
+def test_convert_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"text")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    rows = convert.convert_files(spark, str(tmp_path / "*.pdf"), lambda b: b.decode()).orderBy("path").collect()
+    assert rows[0].text == "text" and rows[1].text is None and "UnicodeDecodeError" in rows[1].error
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    texts = {"a": "# T\nbody\n## S\nmore", "b": "plain"}
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.md").write_text(text)
+        found = stream.stream_segments(stream.stream_documents(spark, str(tmp_path / "in")), "title")
+        stream.write_segments(found, out, check).awaitTermination()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == sorted(map(tuple, split.preset(docs, "title").collect()), key=str)
