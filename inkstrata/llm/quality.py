@@ -1,8 +1,13 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of `PASSAGE` words; labels are known for documents only.
-A passage is encoded from the embeddings of its known words (sum over the root of the
-number of words) and the shares of a few word shapes, through tanh. Gated attention,
+A passage is encoded from the embeddings of its words' known features (sum over the root
+of the number of words) and the shares of a few word shapes, through tanh. Features are
+the whole word and its runs of `GRAMS` characters, so that a stem is known in forms that
+no labelled document has. Known are those that stand in `LEAST_DOCS` labelled documents
+at least, near copies counted once, and whose share differs between a head's two kinds
+of documents by `LEAST_Z` standard errors: other features only let a model learn its
+sample by heart. Gated attention,
 softmax of w (tanh(V h) * sigmoid(U h)), weights all passages of a document, so that one
 bad passage among many can decide. Two logistic heads read the weighted representation:
 low quality (labels.quality = 0) and toxic (labels.toxic = 1).
@@ -27,13 +32,14 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +47,11 @@ from inkstrata.llm.common import bounded
 from inkstrata.llm.words import normal, split_words
 
 PASSAGE, WIDTH, ATTENTION = 64, 16, 8
-PER_CLASS, MOST_CHARS, LEAST_DOCS, EPOCHS, LIMIT = 2500, 20_000, 3, 10, 0.5
+PER_CLASS, MOST_CHARS, EPOCHS, LIMIT = 2500, 20_000, 10, 0.5
+GRAMS, LEAST_DOCS, LEAST_Z = (5, 6), 5, 6.0
+CACHED = 200_000  # words whose features a task remembers
 SHAPES = 6
+Cache = dict[str, tuple[list[int], int, str]]
 SIGNS = re.compile(r"[#$%&*|@^~<>{}=+\\_]")
 
 
@@ -57,27 +66,67 @@ def shape(word: str) -> int:
     )
 
 
+def features(word: str) -> set[str]:
+    """The word, marked at both ends, and its runs of GRAMS characters."""
+    w = f"<{word}>"
+    out = {w}
+    for n in GRAMS:
+        out.update([w[k : k + n] for k in range(len(w) - n + 1)])
+    return out
+
+
 @dataclass
 class Bags:
-    """Passages of texts: word numbers (0: unknown) in order, where passages and texts begin, shares of shapes."""
+    """Passages of texts: distinct words with their features, words in order, where passages and texts begin, shares of shapes."""
 
-    ids: np.ndarray
-    starts: np.ndarray  # of passages in ids
+    ids: np.ndarray  # features of the distinct words, 0 where a word has none
+    begins: np.ndarray  # of distinct words in ids
+    word: np.ndarray  # number of the distinct word, for each word in order
+    starts: np.ndarray  # of passages in word
     sizes: np.ndarray  # words of passages
     shapes: np.ndarray  # passages x SHAPES
     firsts: np.ndarray  # of texts in passages, texts without words left out
     texts: np.ndarray  # numbers of the texts with words
 
-
-def encode(texts: list[str | None], vocabulary: dict[str, int]) -> Bags:
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Sum of a table's rows over the features of each passage."""
+        return np.add.reduceat(np.add.reduceat(table[self.ids], self.begins, axis=0)[self.word], self.starts, axis=0)
+
+    @cached_property
+    def back(self) -> tuple[np.ndarray, ...]:
+        """For spread: passages by word, where words begin in them; words by feature, where features begin in them; features."""
+        passage = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        by_word = np.argsort(self.word, kind="stable")
+        at = np.searchsorted(self.word[by_word], np.arange(len(self.begins)))
+        owner = np.repeat(np.arange(len(self.begins)), np.diff(np.append(self.begins, len(self.ids))))
+        by_feature = np.argsort(self.ids, kind="stable")
+        found, first = np.unique(self.ids[by_feature], return_index=True)
+        return passage[by_word], at, owner[by_feature], first, found
+
+    def spread(self, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The reverse of sums: features, and for each the sum of a change of passages over its places."""
+        passage, at, owner, first, found = self.back
+        of_words = np.add.reduceat(change[passage], at, axis=0)
+        return found, np.add.reduceat(of_words[owner], first, axis=0)
+
+
+def encode(texts: list[str | None], vocabulary: dict[str, int], cache: Cache | None = None) -> Bags:
+    """cache, of words' features, shape and normal form, goes with one vocabulary."""
     raw = [split_words(t) for t in texts]
-    get = vocabulary.get
+    cache = {} if cache is None else cache
+    if len(cache) > CACHED:
+        cache.clear()
     index = {w: k for k, w in enumerate(set(chain.from_iterable(raw)))}
-    names = [normal(w) for w in index]
-    word = np.array([get(n, 0) for n in names], np.int64)
-    kind = np.array([shape(w) for w in index], np.int64)
+    for w in index:
+        if w not in cache:
+            n = normal(w)
+            cache[w] = sorted({vocabulary[f] for f in features(n) if f in vocabulary}) or [0], shape(w), n
+    found = [cache[w] for w in index]
+    each = np.array([len(f[0]) for f in found], np.int64)
+    flat = np.fromiter(chain.from_iterable(f[0] for f in found), np.int64, int(each.sum()))
+    kind = np.array([f[1] for f in found], np.int64)
     same: dict[str, int] = {}
-    distinct = np.array([same.setdefault(n, len(same)) for n in names], np.int64)
+    distinct = np.array([same.setdefault(f[2], len(same)) for f in found], np.int64)
     sizes = np.array([len(r) for r in raw], np.int64)
     at = np.fromiter(map(index.__getitem__, chain.from_iterable(raw)), np.int64, int(sizes.sum()))
     texts_with = np.flatnonzero(sizes)
@@ -86,16 +135,50 @@ def encode(texts: list[str | None], vocabulary: dict[str, int]) -> Bags:
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     starts = np.repeat(begin, count) + inner * PASSAGE
     ends = np.minimum(starts + PASSAGE, np.repeat(begin + sizes[texts_with], count))
+    begins = np.cumsum(each) - each
     if not len(starts):
-        return Bags(at, starts, starts, np.empty((0, SHAPES)), starts, texts_with)
+        return Bags(flat, begins, at, starts, starts, np.empty((0, SHAPES)), starts, texts_with)
     n = ends - starts
     bits = kind[at]
     again = np.zeros(len(at), bool)
     again[1:] = distinct[at[1:]] == distinct[at[:-1]]
     again[begin] = False
     flags = np.column_stack([(bits >> b) & 1 for b in range(SHAPES - 1)] + [again]).astype(np.float32)
-    shares = np.add.reduceat(flags, starts, axis=0) / n[:, None]
-    return Bags(word[at], starts, n, shares, np.cumsum(count) - count, texts_with)
+    shares = np.add.reduceat(flags, starts, axis=0) / n[:, None].astype(np.float32)
+    return Bags(flat, begins, at, starts, n, shares, np.cumsum(count) - count, texts_with)
+
+
+def _copies(text: str) -> int:
+    """A number that near copies mostly share: the least hash of three words in a row."""
+    w = split_words(text)
+    return min((xxhash.xxh3_64_intdigest(" ".join(w[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 2))), default=0)
+
+
+def vocabulary_of(texts: list[str], truth: np.ndarray) -> dict[str, int]:
+    """Numbers, from 1, of the features that tell a column of truth; see the module's text."""
+    seen: set[tuple] = set()
+    use = [k for k, t in enumerate(texts) if (key := (_copies(t), *truth[k].tolist())) not in seen and not seen.add(key)]
+    number: dict[str, int] = {}
+    of_word: dict[str, np.ndarray] = {}
+    add = number.setdefault
+    parts = []
+    for k in use:
+        words = {n for w in split_words(texts[k]) if (n := normal(w))}
+        for w in words:
+            if w not in of_word:
+                of_word[w] = np.array([add(f, len(number)) for f in features(w)], np.int64)
+        parts.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.empty(0, np.int64))
+    total = np.bincount(np.concatenate([*parts, np.empty(0, np.int64)]), minlength=len(number))
+    good = np.zeros(len(number), bool)
+    for column in truth[use].T:
+        a, b = int(column.sum()), int((1 - column).sum())
+        if a and b:
+            mine = np.bincount(np.concatenate([p for p, y in zip(parts, column) if y]), minlength=len(number))
+            share = total / (a + b)
+            error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / a + 1 / b))
+            good |= np.abs(mine / a - (total - mine) / b) >= LEAST_Z * error
+    good &= (total >= LEAST_DOCS) & (total < len(use))
+    return {f: k for k, f in enumerate(sorted(f for f, i in number.items() if good[i]), 1)}
 
 
 @dataclass
@@ -106,7 +189,7 @@ class Model:
 
     def passages(self, bags: Bags) -> np.ndarray:
         w = self.weights
-        total = np.add.reduceat(w["words"][bags.ids], bags.starts, axis=0) / np.sqrt(bags.sizes)[:, None]
+        total = bags.sums(w["words"]) / np.sqrt(bags.sizes)[:, None].astype(np.float32)
         return np.tanh(total + bags.shapes @ w["shapes"] + w["bias"])
 
     def probabilities(self, bags: Bags) -> np.ndarray:
@@ -124,9 +207,9 @@ class Model:
 
 
 def _gradients(w: dict[str, np.ndarray], b: Bags, y: np.ndarray, heads: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross-entropy of a batch; words' gradients only for the words that occur."""
-    root = np.sqrt(b.sizes)[:, None]
-    h = np.tanh(np.add.reduceat(w["words"][b.ids], b.starts, axis=0) / root + b.shapes @ w["shapes"] + w["bias"])
+    """Of the mean cross-entropy of a batch; features' gradients only for those that occur."""
+    root = np.sqrt(b.sizes)[:, None].astype(np.float32)
+    h = np.tanh(b.sums(w["words"]) / root + b.shapes @ w["shapes"] + w["bias"])
     t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
     score = (t * g) @ w["w"]
     counts = np.diff(np.append(b.firsts, len(h)))
@@ -141,40 +224,36 @@ def _gradients(w: dict[str, np.ndarray], b: Bags, y: np.ndarray, heads: np.ndarr
     dtg = dscore[:, None] * w["w"]
     dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
     dh = (a[:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-    words, where = np.unique(b.ids, return_inverse=True)
-    each = np.repeat(dh / root, b.sizes, axis=0)
-    dwords = np.column_stack([np.bincount(where, each[:, k], len(words)) for k in range(each.shape[1])])
     return {
         "C": z.T @ dlogit, "c": dlogit.sum(axis=0), "w": dscore @ (t * g), "V": h.T @ dt, "U": h.T @ dg,
-        "shapes": b.shapes.T @ dh, "bias": dh.sum(axis=0), "words": (words, dwords),
+        "shapes": b.shapes.T @ dh, "bias": dh.sum(axis=0), "words": b.spread(dh / root),
     }
 
 
 def fit(texts: list[str], low: list[bool], toxic: list[bool], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Train on labelled texts; the same texts give the same model."""
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update({n for w in split_words(t) if (n := normal(w))})
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS), 1)}
     y = np.column_stack([low, toxic]).astype(float) if texts else np.empty((0, 2))
+    vocabulary = vocabulary_of(texts, y)
     heads = tuple(bool(0 < y[:, k].sum() < len(y)) for k in range(2))
     rng = np.random.default_rng(seed)
     size = {"shapes": (SHAPES, WIDTH), "bias": (WIDTH,), "V": (WIDTH, ATTENTION), "U": (WIDTH, ATTENTION), "w": (ATTENTION,), "C": (WIDTH, 2), "c": (2,)}
     w = {k: rng.normal(0, 0.3, s) if len(s) > 1 or k == "w" else np.zeros(s) for k, s in size.items()}
     w["words"] = rng.normal(0, 0.02, (len(vocabulary) + 1, WIDTH))
     w["words"][0] = 0
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    v = {k: np.zeros_like(x) for k, x in w.items()}
     order = [k for k, t in enumerate(texts) if t and t.split()]
     rng.shuffle(order)
     batches = [order[at : at + 64] for at in range(0, len(order), 64)] if any(heads) else []
-    encoded = [(encode([texts[k] for k in b], vocabulary), y[b]) for b in batches]
+    cache: Cache = {}
+    w = {k: x.astype(np.float32) for k, x in w.items()}
+    encoded = [(encode([texts[k] for k in b], vocabulary, cache), y[b].astype(np.float32)) for b in batches]
+    m = {k: np.zeros_like(x) for k, x in w.items()}
+    v = {k: np.zeros_like(x) for k, x in w.items()}
     step = 0
     for epoch in range(epochs):
         rate = 0.02 * (1 - epoch / epochs)
         rng.shuffle(encoded)
         for bags, truth in encoded:
-            grads = _gradients(w, bags, truth, np.array(heads))
+            grads = _gradients(w, bags, truth, np.array(heads, np.float32))
             step += 1
             for k, d in grads.items():
                 rows, d = d if k == "words" else (slice(None), d)
@@ -183,7 +262,7 @@ def fit(texts: list[str], low: list[bool], toxic: list[bool], epochs: int = EPOC
                 v[k][rows] = 0.999 * v[k][rows] + 0.001 * d * d
                 w[k][rows] -= rate * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(v[k][rows] / (1 - 0.999**step)) + 1e-8)
             w["words"][0] = 0
-    return Model(vocabulary, {k: x.astype(np.float32) for k, x in w.items()}, heads)
+    return Model(vocabulary, w, heads)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> list:
@@ -211,9 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_c
     return model, float(np.mean(right)) if held else float("nan")
 
 
-def score(model: Model, texts: list[str | None]) -> list[tuple[float, float] | None]:
+def score(model: Model, texts: list[str | None], cache: Cache | None = None) -> list[tuple[float, float] | None]:
     """(probability of low quality, of toxic) of each text; None without words."""
-    bags = encode(texts, model.vocabulary)
+    bags = encode(texts, model.vocabulary, cache)
     out: list[tuple[float, float] | None] = [None] * len(texts)
     for k, p in zip(bags.texts.tolist(), model.probabilities(bags).tolist()):
         out[k] = (p[0], p[1])
@@ -225,8 +304,9 @@ def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, per_class
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: Cache = {}
         for batch in bounded(batches, "text", 2 << 20):
-            bags = encode(batch.column("text").to_pylist(), sent.value.vocabulary)
+            bags = encode(batch.column("text").to_pylist(), sent.value.vocabulary, cache)
             p = sent.value.probabilities(bags)
             n = np.zeros(batch.num_rows, np.int64)
             n[bags.texts] = np.diff(np.append(bags.firsts, len(bags.starts)))
@@ -253,8 +333,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, p
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: Cache = {}
         for batch in bounded(batches, "text", 2 << 20):
-            keep = [s is not None and max(s) < limit for s in score(sent.value, batch.column("text").to_pylist())]
+            keep = [s is not None and max(s) < limit for s in score(sent.value, batch.column("text").to_pylist(), cache)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
