@@ -44,8 +44,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tr tbody thead tfoot select div article section main body html td th".split())
+STOPS = {t: SCOPE - frozenset(names) - (frozenset(("td", "th")) if t == "tr" else frozenset()) for t, names in CLOSES.items()}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -93,7 +94,7 @@ def text_nodes(page: str) -> list[tuple[str, str, int]]:
         if tag in BLOCK:
             close(("p",), SCOPE)
         if tag in CLOSES:
-            close(CLOSES[tag], SCOPE - frozenset(CLOSES[tag]))
+            close(CLOSES[tag], STOPS[tag])
         c = CLASS.search(m[3]) if "class" in m[3].lower() else None
         name = (c[1] or c[2] or c[3] or "").strip() if c else ""
         stack.append((tag, f"{tag}.{name}" if name else tag))
