@@ -32,11 +32,12 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,12 +52,13 @@ PER_CLASS, MOST_CHARS, EPOCHS, LIMIT = 2500, 20_000, 10, 0.5
 GRAMS, LEAST_DOCS, LEAST_Z = (5, 6), 5, 6.0
 CACHED = 200_000  # words whose features a task remembers
 SHAPES = 6
-Cache = dict[str, tuple[list[int], int, str]]
 SIGNS = re.compile(r"[#$%&*|@^~<>{}=+\\_]")
 
 
 def shape(word: str) -> int:
     """Bits: upper case, signs, exclamation, no letter, 25 characters or more."""
+    if word.isalpha():
+        return (len(word) > 2 and word.isupper()) | (len(word) >= 25) << 4
     return (
         (len(word) > 2 and word.isupper())
         | bool(SIGNS.search(word)) << 1
@@ -110,17 +112,40 @@ class Bags:
         return found, np.add.reduceat(of_words[owner], first, axis=0)
 
 
-def encode(texts: list[str | None], vocabulary: dict[str, int], cache: Cache | None = None) -> Bags:
-    """cache, of words' features, shape and normal form, goes with one vocabulary."""
+class Known:
+    """Features, shape and normal form of words, found once each; goes with one vocabulary.
+
+    All features of many words are found in one pass of an Aho-Corasick automaton over
+    the words, so the cost doesn't depend on how many parts a word has.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.words: dict[str, tuple[list[int], int, str]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for f, k in vocabulary.items():
+            self.automaton.add_word(f, k)
+        if vocabulary:
+            self.automaton.make_automaton()
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[list[int], int, str]]:
+        if len(self.words) > CACHED:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        names = [normal(w) for w in new]
+        ids: list[set[int]] = [set() for _ in new]
+        if new and len(self.automaton):
+            hits = list(self.automaton.iter("\n".join([f"<{n}>" for n in names])))  # no word holds a line end
+            ends = np.cumsum([len(n) + 3 for n in names])
+            for k, (_, f) in zip(np.searchsorted(ends, [e for e, _ in hits], side="right").tolist(), hits):
+                ids[k].add(f)
+        self.words.update(zip(new, ((sorted(i) or [0], shape(w), n) for w, i, n in zip(new, ids, names))))
+        return self.words
+
+
+def encode(texts: list[str | None], known: Known) -> Bags:
     raw = [split_words(t) for t in texts]
-    cache = {} if cache is None else cache
-    if len(cache) > CACHED:
-        cache.clear()
     index = {w: k for k, w in enumerate(set(chain.from_iterable(raw)))}
-    for w in index:
-        if w not in cache:
-            n = normal(w)
-            cache[w] = sorted({vocabulary[f] for f in features(n) if f in vocabulary}) or [0], shape(w), n
+    cache = known.learn(index)
     found = [cache[w] for w in index]
     each = np.array([len(f[0]) for f in found], np.int64)
     flat = np.fromiter(chain.from_iterable(f[0] for f in found), np.int64, int(each.sum()))
@@ -243,9 +268,9 @@ def fit(texts: list[str], low: list[bool], toxic: list[bool], epochs: int = EPOC
     order = [k for k, t in enumerate(texts) if t and t.split()]
     rng.shuffle(order)
     batches = [order[at : at + 64] for at in range(0, len(order), 64)] if any(heads) else []
-    cache: Cache = {}
+    known = Known(vocabulary)
     w = {k: x.astype(np.float32) for k, x in w.items()}
-    encoded = [(encode([texts[k] for k in b], vocabulary, cache), y[b].astype(np.float32)) for b in batches]
+    encoded = [(encode([texts[k] for k in b], known), y[b].astype(np.float32)) for b in batches]
     m = {k: np.zeros_like(x) for k, x in w.items()}
     v = {k: np.zeros_like(x) for k, x in w.items()}
     step = 0
@@ -290,9 +315,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_c
     return model, float(np.mean(right)) if held else float("nan")
 
 
-def score(model: Model, texts: list[str | None], cache: Cache | None = None) -> list[tuple[float, float] | None]:
+def score(model: Model, texts: list[str | None], known: Known | None = None) -> list[tuple[float, float] | None]:
     """(probability of low quality, of toxic) of each text; None without words."""
-    bags = encode(texts, model.vocabulary, cache)
+    bags = encode(texts, known or Known(model.vocabulary))
     out: list[tuple[float, float] | None] = [None] * len(texts)
     for k, p in zip(bags.texts.tolist(), model.probabilities(bags).tolist()):
         out[k] = (p[0], p[1])
@@ -304,9 +329,9 @@ def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, per_class
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: Cache = {}
+        known = Known(sent.value.vocabulary)
         for batch in bounded(batches, "text", 2 << 20):
-            bags = encode(batch.column("text").to_pylist(), sent.value.vocabulary, cache)
+            bags = encode(batch.column("text").to_pylist(), known)
             p = sent.value.probabilities(bags)
             n = np.zeros(batch.num_rows, np.int64)
             n[bags.texts] = np.diff(np.append(bags.firsts, len(bags.starts)))
@@ -333,9 +358,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, p
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: Cache = {}
+        known = Known(sent.value.vocabulary)
         for batch in bounded(batches, "text", 2 << 20):
-            keep = [s is not None and max(s) < limit for s in score(sent.value, batch.column("text").to_pylist(), cache)]
+            keep = [s is not None and max(s) < limit for s in score(sent.value, batch.column("text").to_pylist(), known)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

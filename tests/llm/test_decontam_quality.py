@@ -157,11 +157,23 @@ def test_one_passage_decides(spark):
     assert low < 0.5 <= high
 
 
+def test_features_of_words():
+    rng = random.Random(25)
+    words = ["", "a", "<", "a><b", "ab" * 40, "字", "<x>", "😀stone"] + [word(rng) for _ in range(300)]
+    every = sorted(set().union(*(quality.features(quality.normal(w)) for w in words)))
+    vocabulary = {f: k for k, f in enumerate(rng.sample(every, len(every) // 2), 1)}
+    found = quality.Known(vocabulary).learn(words)
+    for w in words:
+        want = sorted({vocabulary[f] for f in quality.features(quality.normal(w)) if f in vocabulary}) or [0]
+        assert found[w][0] == want, w
+    assert quality.Known({}).learn(["a"])["a"][0] == [0]
+
+
 def test_gradients():
     rng = random.Random(23)
     rows, labels = labelled(rng, 60)
     vocabulary = {f: k for k, f in enumerate(sorted(set().union(*(quality.features(quality.normal(w)) for _, t in rows[:5] for w in t.split()))), 1)}
-    bags = quality.encode([t for _, t in rows[:6]], vocabulary)
+    bags = quality.encode([t for _, t in rows[:6]], quality.Known(vocabulary))
     g = np.random.default_rng(1)
     shapes = {"shapes": (6, 16), "bias": (16,), "V": (16, 8), "U": (16, 8), "w": (8,), "C": (16, 2), "c": (2,), "words": (len(vocabulary) + 1, 16)}
     w = {k: g.normal(0, 0.3, s) for k, s in shapes.items()}
