@@ -198,6 +198,7 @@ def join_headings(text: Column) -> Column:
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line); a null text has no lines, so what is joined from lines lacks its document."""
     return docs.select("doc_id", F.posexplode(X.lf_lines(F.col("text"))).alias("line_no", "line"))
 
 
