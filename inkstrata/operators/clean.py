@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,7 +110,8 @@ def number_footnotes(lines: DataFrame) -> DataFrame:
     return runs.withColumn("_i", place).select("doc_id", "line_no", new.alias("line"))
 
 
-LATIN = "a-zA-Z'āáǎàōóǒòêếềēéěèīíǐìūúǔùüǖǘǚǜḿńňǹẑĉŝŋĀÁǍÀŌÓǑÒÊẾỀĒÉĚÈĪÍǏÌŪÚǓÙÜǕǗǙǛḾŃŇǸẐĈŜŊ̄̌̀"
+TONED = {c for letter in "aoeiuümnê" for tone in "\u0304\u0301\u030c\u0300" for c in unicodedata.normalize("NFC", letter + tone)} | set("üêẑĉŝŋ")
+LATIN = "a-zA-Z'" + "".join(sorted(TONED | {c.upper() for c in TONED}))
 PINYIN = re.compile(rf"[（(][{LATIN}]+[)）]")
 LETTER_NOTE = re.compile(r"(\s*)([a-zA-Z])(\s+.+)$")
 
