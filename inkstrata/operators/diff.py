@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import sys
 from array import array
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,8 +107,92 @@ def line_diff(a: Column, b: Column, context: bool = False, numlines: int = 3) ->
 WORD = re.compile(r"\s+|[一-鿿]|[^\W一-鿿]+|[^\w\s]")
 
 
-def _edits(x: list[str], y: list[str], most: int) -> list[tuple[str, int, int, int, int]]:
-    """Opcodes of a shortest edit script by the greedy O(ND) algorithm; one replacement if it needs more than `most` edits."""
+#: Bits of a table of _lcs that are kept at a time (8 MB), and the width of a block of its rows.
+TABLE_BITS = 1 << 26
+ROW_BITS = 1 << 14
+
+
+def _masks(x: list[str], units: set[str]) -> dict[str, int]:
+    """For each of the units, the places in x where it stands as the bits of a number."""
+    at: dict[str, list[int]] = {}
+    for i, unit in enumerate(x):
+        if unit in units:
+            at.setdefault(unit, []).append(i)
+    out = {}
+    for unit, places in at.items():
+        bits = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        out[unit] = int.from_bytes(bits, "little")
+    return out
+
+
+def _last_row(x: list[str], y: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of y with x[:0], x[:1] and so on to x, by bit vectors (Hyyrö 2004)."""
+    steps = [np.zeros(1, np.int64)]
+    carry = bytearray(len(y))  # of each row, from one block of x into the next
+    units = set(y)
+    for start in range(0, len(x), ROW_BITS):
+        block = x[start : start + ROW_BITS]
+        n = len(block)
+        v = full = (1 << n) - 1
+        get = _masks(block, units).get
+        for j, unit in enumerate(y):
+            u = v & get(unit, 0)
+            total = v + u + carry[j]
+            carry[j] = total >> n
+            v = (total & full) | (v - u)
+        bits = np.frombuffer(v.to_bytes(-(-n // 8), "little"), np.uint8)
+        steps.append(1 - np.unpackbits(bits, count=n, bitorder="little").astype(np.int64))
+    return np.cumsum(np.concatenate(steps))
+
+
+def _lcs(x: list[str], y: list[str], at: int = 0, to: int = 0) -> Iterator[tuple[int, int]]:
+    """Places of a longest common subsequence, in order; `at` and `to` are added to them.
+
+    Hirschberg's division of y, until the table of a part has TABLE_BITS at most: time grows
+    with len(x) * len(y) / 64, memory with len(x) + len(y).
+    """
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        yield at + head, to + head
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    ends = at + len(x) - tail, to + len(y) - tail
+    x, y, at, to = x[head : len(x) - tail], y[head : len(y) - tail], at + head, to + head
+    if len(y) > 1 and len(x) * len(y) > TABLE_BITS:
+        j = len(y) // 2
+        i = int((_last_row(x, y[:j]) + _last_row(x[::-1], y[j:][::-1])[::-1]).argmax())
+        yield from _lcs(x[:i], y[:j], at, to)
+        yield from _lcs(x[i:], y[j:], at + i, to + j)
+    elif x and y:
+        v = full = (1 << len(x)) - 1
+        get = _masks(x, set(y)).get
+        rows = [v]
+        for unit in y:
+            u = v & get(unit, 0)
+            v = ((v + u) & full) | (v - u)
+            rows.append(v)
+        table = [r.to_bytes(-(-len(x) // 8), "little") for r in rows]
+        found = []
+        i, j = len(x), len(y)
+        while i and j:
+            byte, bit = (i - 1) >> 3, 1 << ((i - 1) & 7)
+            if table[j][byte] & bit:
+                i -= 1
+            else:
+                j -= 1
+                if table[j][byte] & bit:
+                    i -= 1
+                    found.append((at + i, to + j))
+        yield from reversed(found)
+    yield from ((ends[0] + k, ends[1] + k) for k in range(tail))
+
+
+def _greedy(x: list[str], y: list[str], most: int) -> list[tuple[int, int]] | None:
+    """Places of the equal units of a shortest edit script by the greedy O(ND) algorithm; None if it needs more than `most` edits."""
     n, m = len(x), len(y)
     v = array("i", [0]) * (2 * most + 3)
     trace: list[array] = []
@@ -125,7 +214,7 @@ def _edits(x: list[str], y: list[str], most: int) -> list[tuple[str, int, int, i
         if end >= 0:
             break
     if end < 0:
-        return [("replace", 0, n, 0, m)]
+        return None
     pairs: list[tuple[int, int]] = []  # equal units, from the last to the first
     i, j = n, m
     for d in range(end, 0, -1):
@@ -141,9 +230,23 @@ def _edits(x: list[str], y: list[str], most: int) -> list[tuple[str, int, int, i
             pairs.append((i, j))
         i, j = a, b
     pairs.extend((q, q) for q in range(i - 1, -1, -1))
+    return pairs[::-1]
+
+
+def _edits(x: list[str], y: list[str], most: int) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes of a shortest edit script; beyond `most` edits it is found by _lcs, which takes the same time for any number.
+
+    So it is, too, where the greedy algorithm would take longer for fewer edits.
+    """
+    n, m = len(x), len(y)
+    most = min(most, math.isqrt(2 * m * (1 + n // 8192)))
+    p, q = Counter(x), Counter(y)
+    pairs = _greedy(x, y, most) if (p - q).total() + (q - p).total() <= most else None
+    if pairs is None:
+        pairs = _lcs(x, y)
     out: list[tuple[str, int, int, int, int]] = []
     i = j = 0
-    for a, b in [*reversed(pairs), (n, m)]:
+    for a, b in [*pairs, (n, m)]:
         if a > i or b > j:
             out.append(("replace", i, a, j, b))
         if a < n or b < m:
@@ -159,7 +262,8 @@ def word_parts(a: str, b: str, most: int = 1000) -> list[tuple[str, str]]:
     """(op, value) with op equal, delete or insert; white space, words, Han characters and signs are units.
 
     The equal and deleted values make a, the equal and inserted ones b. The script is a
-    shortest one; two texts that are more than `most` edits apart are replaced whole.
+    shortest one for any two texts; `most` only says to how many edits the search by edits
+    is tried first.
     """
     x, y = WORD.findall(a), WORD.findall(b)
     head = 0
@@ -192,9 +296,19 @@ def word_parts(a: str, b: str, most: int = 1000) -> list[tuple[str, str]]:
 def word_diff(a: Column, b: Column) -> Column:
     """Array of (op, value); a null is an empty text."""
 
-    @F.pandas_udf(T.ArrayType(DIFF_PART))
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": o, "value": v} for o, v in word_parts(x or "", y or "")] for x, y in zip(xs, ys)])
+    @F.arrow_udf(T.ArrayType(DIFF_PART))
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        done = []
+        for start in range(0, max(len(xs), 1), 200):  # as Arrow arrays, the parts take little more than their texts
+            ends, ops, values = [0], [], []
+            for x, y in zip(xs.slice(start, 200), ys.slice(start, 200)):
+                for op, value in word_parts(x.as_py() or "", y.as_py() or ""):
+                    ops.append(op)
+                    values.append(value)
+                ends.append(len(ops))
+            parts = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(values, pa.string())], DIFF_PART.names)
+            done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts))
+        return pa.concat_arrays(done)
 
     return run(a, b)
 

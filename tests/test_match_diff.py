@@ -70,6 +70,29 @@ def test_word_parts():
     assert [o for o, _ in far] == ["delete", "insert"]
 
 
+def equal_units(parts):
+    return sum(len(diff.WORD.findall(v)) for o, v in parts if o == "equal")
+
+
+def test_word_parts_of_far_texts(monkeypatch):
+    random.seed(2)
+    a, b = (" ".join(random.choice(["a", "b,", "字c", "d\n", "e", "f"]) + str(random.randint(0, 9)) for _ in range(900)) for _ in range(2))
+    x, y = diff.WORD.findall(a), diff.WORD.findall(b)
+    want = lcs(x, y)
+    assert len(x) + len(y) - 2 * want > 1000
+    for bits, width in ((1 << 26, 1 << 14), (5000, 1 << 14), (5000, 100)):
+        monkeypatch.setattr(diff, "TABLE_BITS", bits)
+        monkeypatch.setattr(diff, "ROW_BITS", width)
+        p = diff.word_parts(a, b)
+        assert "".join(v for o, v in p if o != "insert") == a and "".join(v for o, v in p if o != "delete") == b
+        assert equal_units(p) == want
+    monkeypatch.setattr(diff, "TABLE_BITS", 6)
+    monkeypatch.setattr(diff, "ROW_BITS", 3)
+    for _ in range(1500):
+        a, b = (" ".join(random.choice(["a", "b,", "字c", "d\n"]) for _ in range(random.randint(0, 8))) for _ in range(2))
+        assert equal_units(diff.word_parts(a, b, most=0)) == lcs(diff.WORD.findall(a), diff.WORD.findall(b))
+
+
 def test_pages(spark):
     df = spark.createDataFrame([("a <b>", "a & b"), (None, "x"), ("", "")], "a string, b string")
     rows = df.select(diff.word_page(diff.word_diff(F.col("a"), F.col("b")), F.lit("<t>")).alias("p"), diff.line_diff(F.col("a"), F.col("b")).alias("l")).collect()
