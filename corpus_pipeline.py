@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 returns a DataFrame; all but the last return the columns of documents.
 
 1. quality: documents that the classifier rejects (low quality, toxic or without a word) go.
-2. lines: later repeats of runs of lines are deleted; documents with no text left go.
+2. lines: later repeats of runs of three lines or 50 words are deleted; documents with no text left go.
 3. near_duplicates: one document of each group of near-duplicates stays.
 4. benchmark: documents that hold a benchmark item go.
 5. packing: the rest is assigned to bins; one row per piece of a document.
@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.delete_runs(docs, linededup.repeated_runs(docs))
+    return linededup.delete_runs(docs, linededup.repeated_runs(docs, min_words=linededup.MIN_WORDS))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

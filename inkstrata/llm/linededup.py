@@ -6,7 +6,9 @@ every run of that many lines that occurs twice has the same fingerprint selected
 both places. Positions with an equal fingerprint are joined with the first of them
 whose lines match as far as the window reaches before and after; matched windows that
 overlap or touch are extended into one run. Every run of at least `min_lines` lines
-that also occurs earlier (in order of doc_id, then line) is deleted.
+that also occurs earlier (in order of doc_id, then line) is deleted. With `min_words`,
+runs of fewer lines count as windows too if they hold that many words; the query
+op4_line_dedup, like its SQL, goes without, the pipeline takes MIN_WORDS.
 
 A window is matched by its fingerprint, the place of the fingerprint in it and a
 digest of all its hashes, so a line that stands in millions of documents meets only
@@ -16,7 +18,8 @@ Defined results
 - One row per deleted run: doc_id, start_line, end_line (from 0, end included),
   n_lines (not blank), first_doc_id, first_line (where its beginning stands earlier).
 - A run within one document that repeats an earlier part of it goes too.
-- Texts that are null or have fewer lines than min_lines give nothing.
+- Texts that are null give nothing, nor do those of fewer lines than min_lines and, with
+  min_words, fewer words.
 - Rows with a null doc_id are not compared; rows that share a doc_id and a line number
   are the same place, so a repeated row doesn't delete itself.
 - An empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -26,44 +29,55 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_LINES = 3
+#: What the pipeline asks of runs of fewer lines. The SQL of op4_line_dedup knows whole windows of MIN_LINES only.
+MIN_WORDS = 50
 
 
-def _windows(docs: DataFrame, size: int) -> DataFrame:
+def _words(x: Column) -> Column:
+    """Runs of non-blank characters; of scripts without spaces, each character."""
+    return F.regexp_count(x, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"))
+
+
+def _windows(docs: DataFrame, size: int, min_words: int | None) -> DataFrame:
     lines = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.trim(x).alias("x"))), lambda t: t["x"] != ""
     )
+    words = (lambda x: F.lit(0)) if min_words is None else _words
     hashed = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.transform(lines, lambda t: F.struct(t["p"].alias("p"), F.xxhash64(t["x"]).alias("h"))).alias("l"),
-    )
-    spread = hashed.where(F.size("l") >= size).select("doc_id", F.col("l.p").alias("p"), F.col("l.h").alias("h"))
-    starts = F.sequence(F.lit(0), F.size("h") - size)
-    rows = spread.select(
-        "doc_id",
-        F.inline(
-            F.transform(
-                starts,
-                lambda s: F.struct(
-                    s.alias("s"), F.get("p", s).alias("start_line"), F.get("p", s + size - 1).alias("end_line"), F.slice("h", s + 1, size).alias("w")
-                ),
-            )
-        ),
+        F.transform(lines, lambda t: F.struct(t["p"].alias("p"), F.xxhash64(t["x"]).alias("h"), words(t["x"]).alias("n"))).alias("l"),
     )
+
+    def of(k: int) -> Column:
+        """The windows of k lines; those of fewer than `size` must hold min_words words."""
+        starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
+        if k < size:
+            starts = F.filter(starts, lambda s: F.aggregate(F.slice("n", s + 1, k), F.lit(0), lambda a, x: a + x) >= min_words)
+        return F.transform(
+            starts,
+            lambda s: F.struct(
+                s.alias("s"), (s + k).alias("e"), F.get("p", s).alias("start_line"), F.get("p", s + k - 1).alias("end_line"), F.slice("h", s + 1, k).alias("w")
+            ),
+        )
+
+    least_lines = size if min_words is None else 1
+    spread = hashed.where(F.size("l") >= least_lines).select("doc_id", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+    rows = spread.select("doc_id", F.inline(F.concat(*(of(k) for k in range(least_lines, size + 1)))))
     least = F.array_min("w")
     return rows.select(
-        "doc_id", "s", "start_line", "end_line", least.alias("fp"), F.array_position("w", least).alias("off"), F.xxhash64("w").alias("g")
+        "doc_id", "s", "e", "start_line", "end_line", least.alias("fp"), F.array_position("w", least).alias("off"), F.xxhash64("w").alias("g")
     )
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The runs to delete; see the module's text."""
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """The runs to delete; with min_words also shorter runs of so many words. See the module's text."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    windows = _windows(docs, min_lines)
+    windows = _windows(docs, min_lines, min_words)
     firsts = (
         windows.groupBy("fp", "off", "g")
         .agg(F.min(F.struct("doc_id", "s", F.col("start_line").alias("line"))).alias("first"), F.count("*").alias("n"))
@@ -73,20 +87,18 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     later = windows.join(firsts, ["fp", "off", "g"]).where(
         (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("s") > F.col("first.s")))
     )
-    by_doc = Window.partitionBy("doc_id").orderBy("s")
-    later = later.select("doc_id", "s", "start_line", "end_line", "first").distinct()
-    far = F.col("s") - F.lag("s").over(by_doc) > min_lines
-    runs = later.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by_doc))
-    # Overlapping windows count each line once: a window adds its step from the one before.
-    step = F.when(F.col("new") == 1, F.lit(min_lines)).otherwise(F.col("s") - F.lag("s").over(by_doc))
+    by_doc = Window.partitionBy("doc_id").orderBy("s", F.desc("e"))
+    later = later.select("doc_id", "s", "e", "start_line", "end_line", "first").distinct()
+    reached = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        runs.withColumn("step", step)
-        .groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "run")
         .agg(
             F.min("start_line").cast("long").alias("start_line"),
             F.max("end_line").cast("long").alias("end_line"),
-            F.sum("step").cast("long").alias("n_lines"),
-            F.min_by("first", "s").alias("first"),
+            (F.max("e") - F.min("s")).cast("long").alias("n_lines"),
+            F.min_by("first", F.struct("s", -F.col("e"))).alias("first"),
         )
         .select("doc_id", "start_line", "end_line", "n_lines", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").cast("long").alias("first_line"))
     )

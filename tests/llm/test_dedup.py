@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from inkstrata.llm import chunkdedup, linededup, simhash
 from inkstrata.llm.components import components
 from inkstrata.llm.words import normal, split_words
@@ -65,6 +66,18 @@ def test_runs_in_odd_tables(spark):
     assert linededup.repeated_runs(linededup.delete_runs(docs.where("doc_id >= 20"), runs)).count() == 0
 
 
+def test_short_runs_of_many_words(spark):
+    w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    one, two, han = w("a", 60), w("b", 30) + "\n\n" + w("c", 30), "字词" * 30
+    rows = [(1, f"p\n{one}\nq\n{two}\nr"), (2, f"s\n{one}\nt"), (3, f"u\n{two}\nv"), (4, han), (5, f"x\n{han}"), (6, w("d", 49)), (7, w("d", 49)),
+            (8, one), (9, "p\n" + one + "\nq\ny")]
+    docs = documents(spark, rows)
+    runs = linededup.repeated_runs(docs, min_words=50)
+    assert tuples(runs) == [(2, 1, 1, 1, 1, 1), (3, 1, 3, 2, 1, 3), (5, 1, 1, 1, 4, 0), (8, 0, 0, 1, 1, 1), (9, 0, 2, 3, 1, 0)]
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == dict(rows[:1]) | {
+        2: "s\nt", 3: "u\nv", 4: han, 5: "x", 6: rows[5][1], 7: rows[6][1], 9: "y"}
+
+
 # --- substring dedup ---------------------------------------------------------------------------------------------------
 
 
