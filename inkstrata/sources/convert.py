@@ -27,6 +27,27 @@ class _Markdown(HTMLParser):
         self.prefix, self.quotes, self.raw = "", 0, False
         self.links: list[str] = []
         self.rows: list[list[str]] | None = None
+        self.cell = False  # a cell of the innermost table is open
+        self.outer: list[tuple[list[list[str]], bool, list[str]]] = []  # rows, cell and line of the tables around it
+
+    def end_cell(self) -> None:
+        """The text since the last cell; text that stands in no cell counts as one."""
+        text = " ".join("".join(self.line).split()).replace("|", "\\|")
+        if self.cell or text:
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append(text)
+        self.line, self.cell = [], False
+
+    def end_table(self) -> None:
+        """A table within a cell comes as a block of its own, before the table around it."""
+        self.end_cell()
+        rows = [r for r in self.rows if r]
+        self.rows, self.cell, self.line = self.outer.pop() if self.outer else (None, False, [])
+        if rows:
+            wide = max(map(len, rows))
+            lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in rows]
+            self.blocks.append("\n".join([lines[0], "|" + "---|" * wide, *lines[1:]]))
 
     def end_block(self) -> None:
         text = "".join(self.line)
@@ -81,11 +102,16 @@ class _Markdown(HTMLParser):
             self.line.append(f"![{found.get('alt') or ''}]({found.get('src') or ''})")
         elif tag == "table":
             self.end_block()
-            self.rows = []
+            if self.rows is not None:
+                self.outer.append((self.rows, self.cell, self.line))
+                self.line = []
+            self.rows, self.cell = [], False
         elif tag == "tr" and self.rows is not None:
+            self.end_cell()
             self.rows.append([])
-        elif tag in ("td", "th"):
-            self.line = []
+        elif tag in ("td", "th") and self.rows is not None:
+            self.end_cell()
+            self.cell = True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
@@ -112,16 +138,10 @@ class _Markdown(HTMLParser):
             self.line.append(MARKS[tag])
         elif tag == "a" and self.links:
             self.line.append(f"]({self.links.pop()})")
-        elif tag in ("td", "th") and self.rows:
-            self.rows[-1].append(" ".join("".join(self.line).split()).replace("|", "\\|"))
-            self.line = []
+        elif tag in ("td", "th", "tr") and self.rows is not None:
+            self.end_cell()
         elif tag == "table" and self.rows is not None:
-            rows = [r for r in self.rows if r]
-            self.rows, self.line = None, []
-            if rows:
-                wide = max(map(len, rows))
-                lines = ["| " + " | ".join(r + [""] * (wide - len(r))) + " |" for r in rows]
-                self.blocks.append("\n".join([lines[0], "|" + "---|" * wide, *lines[1:]]))
+            self.end_table()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -135,7 +155,8 @@ def to_markdown(page: str | None) -> str | None:
     parser = _Markdown()
     parser.feed(page)
     parser.close()
-    parser.rows = None
+    while parser.rows is not None:
+        parser.end_table()
     parser.end_block()
     return "\n\n".join(parser.blocks)
 

@@ -132,6 +132,16 @@ def test_markdown(spark):
     assert convert.to_markdown(None) is None and convert.to_markdown("") == ""
 
 
+def test_tables():
+    md = convert.to_markdown
+    assert md("<table><tr><td>a<td>b<tr><td>c<td>d</table>e") == "| a | b |\n|---|---|\n| c | d |\n\ne"
+    nested = "<table><tr><td>a<td>b<table><tr><td>in</td></tr></table>more</td><td>c</td></tr><tr><td>d</td></tr></table>"
+    assert md(nested) == "| in |\n|---|\n\n| a | b more | c |\n|---|---|---|\n| d |  |  |"
+    assert md("x<table><tr><td>a</td><td>b") == "x\n\n| a | b |\n|---|---|"
+    assert md("<table><tr><td>a<table><tr><td>in") == "| in |\n|---|\n\n| a |\n|---|"
+    assert md("<table><caption>t</caption><tr><td></td><td>b</td></tr></table>") == "| t |  |\n|---|---|\n|  | b |"
+
+
 def test_convert_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"text")
     (tmp_path / "b.pdf").write_bytes(b"\xff")
