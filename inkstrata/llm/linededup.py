@@ -1,17 +1,15 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by hashes of windows of lines.
 
 The lines of a document that are not blank (trimmed of spaces) are hashed in order.
-Each window of `min_lines` consecutive hashes selects its least as a fingerprint, so
-every run of that many lines that occurs twice has the same fingerprint selected at
-both places. Positions with an equal fingerprint are joined with the first of them
-whose lines match as far as the window reaches before and after; matched windows that
-overlap or touch are extended into one run. Every run of at least `min_lines` lines
+Every window of `min_lines` consecutive hashes gives a row; none is left out, so this
+isn't winnowing, which keeps selected fingerprints only. Each window is joined with the
+first equal one; matched windows that overlap or touch are merged into one run. Every run of at least `min_lines` lines
 that also occurs earlier (in order of doc_id, then line) is deleted. With `min_words`,
 runs of fewer lines count as windows too if they hold that many words; the query
 op4_line_dedup, like its SQL, goes without, the pipeline takes MIN_WORDS.
 
-A window is matched by its fingerprint, the place of the fingerprint in it and a
-digest of all its hashes, so a line that stands in millions of documents meets only
+A window is matched by a digest of all its hashes, its least hash and the place of that
+in it (both only make the key longer), so a line that stands in millions of documents meets only
 the places with the same neighbours, and the work grows with the number of lines.
 
 Defined results
