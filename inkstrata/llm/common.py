@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def integer_id(df: DataFrame, column: str = "doc_id") -> Column:
+    """The id column as a long; a column of any other type than an integer is refused before anything runs."""
+    kind = dict(df.dtypes).get(column)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a column of integers, not of type {kind}")
+    return F.col(column).cast("long").alias(column)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores at its end as make it new to df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared folder."""
     shared_folder(df.sparkSession)

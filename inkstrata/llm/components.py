@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstrata.llm.common import cut_lineage
@@ -15,12 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     until every edge points at the least node of its component; each round is a
     fixed number of shuffles of the edges and nothing is gathered on the driver.
     """
-    near = Window.partitionBy("u")
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """pairs with m, the least v of each u: partial minima before the shuffle, so that no task gathers a hub's edges."""
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     now = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(near))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(near))
+        large = nearest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = nearest(cut_lineage(large))
         out = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         now = cut_lineage(out)

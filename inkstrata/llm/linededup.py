@@ -1,25 +1,39 @@
-"""Line deduplication by hashes of windows of lines.
-
-The lines of a document that are not blank (trimmed of spaces) are hashed in order.
-Every window of `min_lines` consecutive hashes gives a row; none is left out, so this
-isn't winnowing, which keeps selected fingerprints only. Each window is joined with the
-first equal one; matched windows that overlap or touch are merged into one run. Every run of at least `min_lines` lines
-that also occurs earlier (in order of doc_id, then line) is deleted. With `min_words`,
-runs of fewer lines count as windows too if they hold that many words; the query
-op4_line_dedup, like its SQL, goes without, the pipeline takes MIN_WORDS.
-
-A window is matched by a digest of all its hashes, its least hash and the place of that
-in it (both only make the key longer), so a line that stands in millions of documents meets only
-the places with the same neighbours, and the work grows with the number of lines.
+"""Line deduplication by winnowing over line hashes.
+
+The lines of a document that are not blank (trimmed of spaces) are hashed in order. Of
+every window of `min_lines` consecutive hashes the least is selected (of equal ones the
+last): about two lines in min_lines + 1. Every run of min_lines lines holds a selected
+line, in every place where it stands the same one, so a selected hash is a guaranteed
+fingerprint. A row is kept for each selected line, with the hashes of its min_lines - 1
+neighbours on both sides.
+
+1. Selected lines are joined with the first place of an equal one, and the match is
+   extended both ways, neighbour by neighbour, over the windows that it was selected for.
+2. A line may be repeated in other company than at its first place. What didn't match
+   there is joined once more, by fingerprint and neighbours, with the first place of the
+   whole window. So every window that stands earlier is found, and a line in millions of
+   documents costs a row for each of them.
+
+Matches that overlap or touch are merged into runs. Every run of at least `min_lines` lines
+that also occurs earlier (in order of doc_id, then of the text's hash, then line) is
+deleted. With `min_words`, runs of fewer lines count too if they hold that many words; they
+are selected in the same way, by their own length. The query op4_line_dedup, like its SQL,
+goes without, the pipeline takes MIN_WORDS.
+
+First places are found by partial aggregation and kept as a table before the join, whose
+sides are then plain shuffles, so that adaptive execution can split a frequent fingerprint.
 
 Defined results
 - One row per deleted run: doc_id, start_line, end_line (from 0, end included),
-  n_lines (not blank), first_doc_id, first_line (where its beginning stands earlier).
+  n_lines (not blank), first_doc_id, first_line (where its beginning stands earlier), and
+  text_key, the hash of the text that the lines belong to.
 - A run within one document that repeats an earlier part of it goes too.
 - Texts that are null give nothing, nor do those of fewer lines than min_lines and, with
   min_words, fewer words.
-- Rows with a null doc_id are not compared; rows that share a doc_id and a line number
-  are the same place, so a repeated row doesn't delete itself.
+- Rows with a null doc_id are not compared. Rows that share doc_id and text are the same
+  document, so a repeated row doesn't delete itself; rows that share a doc_id with other
+  texts are documents of their own, and a run of one never cuts the other.
+- doc_id must be a column of integers; others are refused with a TypeError.
 - An empty table gives an empty result; columns other than doc_id and text are ignored.
 - In delete_runs, blank lines within a run go with it. A document that had a line that
   isn't blank and has none left goes; the others keep all their columns.
@@ -30,6 +44,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstrata.functions.text import let
+from inkstrata.llm.common import cut_lineage, free_name, integer_id
+
 MIN_LINES = 3
 #: What the pipeline asks of runs of fewer lines. The SQL of op4_line_dedup knows whole windows of MIN_LINES only.
 MIN_WORDS = 50
@@ -40,79 +57,114 @@ def _words(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"))
 
 
-def _windows(docs: DataFrame, size: int, min_words: int | None) -> DataFrame:
+def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) -> DataFrame:
+    """A row for each selected line: doc_id, text_key, k (lines of a window), fp, i (number of the line),
+
+    near and places (hashes and line numbers from k - 1 before to k - 1 after it, null beyond the
+    text) and offs (its places in the windows of k lines whose least hash it is).
+    """
     lines = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.trim(x).alias("x"))), lambda t: t["x"] != ""
     )
     words = (lambda x: F.lit(0)) if min_words is None else _words
     hashed = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        integer_id(docs),
+        F.xxhash64("text").alias("text_key"),
         F.transform(lines, lambda t: F.struct(t["p"].alias("p"), F.xxhash64(t["x"]).alias("h"), words(t["x"]).alias("n"))).alias("l"),
     )
 
     def of(k: int) -> Column:
-        """The windows of k lines; those of fewer than `size` must hold min_words words."""
         starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
-        if k < size:
-            starts = F.filter(starts, lambda s: F.aggregate(F.slice("n", s + 1, k), F.lit(0), lambda a, x: a + x) >= min_words)
-        return F.transform(
-            starts,
-            lambda s: F.struct(
-                s.alias("s"), (s + k).alias("e"), F.get("p", s).alias("start_line"), F.get("p", s + k - 1).alias("end_line"), F.slice("h", s + 1, k).alias("w")
+        last_least = lambda s: let(F.slice("h", s + 1, k), lambda w: (s + k - F.array_position(F.reverse(w), F.array_min(w))).cast("int"))
+        around = F.sequence(F.lit(1 - k), F.lit(k - 1))
+
+        def counts(chosen: Column, i: Column, off: Column) -> Column:
+            enough = F.lit(True)
+            if k < size:
+                enough = F.aggregate(F.slice("n", i - off + 1, k), F.lit(0), lambda a, x: a + x) >= min_words
+            return F.when(F.get(chosen, i - off) == i, enough).otherwise(False)
+
+        seeds = let(
+            F.transform(starts, last_least),
+            lambda chosen: F.transform(
+                F.array_distinct(chosen),
+                lambda i: F.struct(
+                    F.lit(k).alias("k"),
+                    F.get("h", i).alias("fp"),
+                    i.alias("i"),
+                    F.transform(around, lambda d: F.get("h", i + d)).alias("near"),
+                    F.transform(around, lambda d: F.get("p", i + d)).alias("places"),
+                    F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda off: counts(chosen, i, off)).alias("offs"),
+                ),
             ),
         )
+        return F.filter(seeds, lambda x: F.size(x["offs"]) > 0) if k < size else seeds
 
     least_lines = size if min_words is None else 1
-    spread = hashed.where(F.size("l") >= least_lines).select("doc_id", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-    rows = spread.select("doc_id", F.inline(F.concat(*(of(k) for k in range(least_lines, size + 1)))))
-    least = F.array_min("w")
-    return rows.select(
-        "doc_id", "s", "e", "start_line", "end_line", least.alias("fp"), F.array_position("w", least).alias("off"), F.xxhash64("w").alias("g")
+    spread = hashed.where(F.size("l") >= least_lines).select("doc_id", "text_key", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+    return spread.select("doc_id", "text_key", F.inline(F.concat(*(of(k) for k in range(least_lines, size + 1)))))
+
+
+def _hits(docs: DataFrame, size: int, min_words: int | None) -> DataFrame:
+    """Windows that stand earlier: doc_id, text_key, s, e (lines that aren't blank, e excluded), start_line, end_line, first_doc_id, first_line."""
+    seeds = selected_lines(docs, size, min_words)
+    place = ["doc_id", "text_key", "i", "near", "places"]
+    firsts = cut_lineage(seeds.groupBy("k", "fp").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    after = lambda *names: F.struct(*names) > F.struct(*(F.col(f"first.{n}").alias(n) for n in names))
+    window = lambda near, off: F.slice(near, F.col("k") - off, F.col("k"))
+    same = F.filter("offs", lambda off: window("near", off) == window("first.near", off))
+    met = seeds.join(firsts, ["k", "fp"]).where(after("doc_id", "text_key", "i")).withColumn("same", same)
+    met = cut_lineage(met.withColumn("rest", F.array_except("offs", "same")))
+
+    def spread(offs: str, *more: Column) -> DataFrame:
+        off = F.col("off")
+        at = met.select("*", F.explode(offs).alias("off"))
+        return at.select(
+            "doc_id", "text_key", (F.col("i") - off).alias("s"), (F.col("i") - off + F.col("k")).alias("e"),
+            F.get("places", F.col("k") - 1 - off).alias("start_line"), F.get("places", 2 * F.col("k") - 2 - off).alias("end_line"), *more,
+        )
+
+    columns = ["doc_id", "text_key", "s", "e", "start_line", "end_line", "first_doc_id", "first_line"]
+    here = spread("same", F.col("first.doc_id").alias("first_doc_id"), F.get("first.places", F.col("k") - 1 - F.col("off")).alias("first_line"))
+    key = ["k", "off", "fp", "g"]
+    others = spread("rest", "k", "off", "fp", F.xxhash64(window("near", F.col("off"))).alias("g"))
+    others_first = cut_lineage(
+        others.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "s", "start_line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    there = others.join(others_first, key).where(after("doc_id", "text_key", "s"))
+    there = there.withColumn("first_doc_id", F.col("first.doc_id")).withColumn("first_line", F.col("first.start_line"))
+    return here.select(columns).unionByName(there.select(columns)).distinct()
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """The runs to delete; with min_words also shorter runs of so many words. See the module's text."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    windows = _windows(docs, min_lines, min_words)
-    firsts = (
-        windows.groupBy("fp", "off", "g")
-        .agg(F.min(F.struct("doc_id", "s", F.col("start_line").alias("line"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    later = windows.join(firsts, ["fp", "off", "g"]).where(
-        (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("s") > F.col("first.s")))
-    )
-    by_doc = Window.partitionBy("doc_id").orderBy("s", F.desc("e"))
-    later = later.select("doc_id", "s", "e", "start_line", "end_line", "first").distinct()
+    by_doc = Window.partitionBy("doc_id", "text_key").orderBy("s", F.desc("e"))
     reached = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = later.withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int"))
+    runs = _hits(docs, min_lines, min_words).withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("doc_id", "text_key", "run")
         .agg(
             F.min("start_line").cast("long").alias("start_line"),
             F.max("end_line").cast("long").alias("end_line"),
             (F.max("e") - F.min("s")).cast("long").alias("n_lines"),
-            F.min_by("first", F.struct("s", -F.col("e"))).alias("first"),
+            F.min_by(F.struct("first_doc_id", "first_line"), F.struct("s", -F.col("e"))).alias("first"),
         )
-        .select("doc_id", "start_line", "end_line", "n_lines", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").cast("long").alias("first_line"))
+        .select("doc_id", "start_line", "end_line", "n_lines", "first.first_doc_id", F.col("first.first_line").cast("long").alias("first_line"), "text_key")
     )
 
 
 def delete_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs with the runs deleted from their texts, in the columns of docs."""
-    spans, key = "_runs", "_key"
-    while spans in docs.columns:
-        spans += "_"
-    while key in docs.columns:
-        key += "_"
-    cut = runs.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_line", "end_line")).alias(spans))
-    with_runs = docs.join(cut, F.col("doc_id").cast("long") == F.col(key), "left")
-    left = F.filter(
-        F.split("text", "\n"), lambda x, i: ~F.exists(F.col(spans), lambda r: (i >= r["start_line"]) & (i <= r["end_line"]))
+    spans, key, text_key = (free_name(docs, n) for n in ("_runs", "_key", "_text_key"))
+    cut = runs.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.collect_set(F.struct("start_line", "end_line")).alias(spans))
+    with_runs = docs.join(cut, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left")
+    gone = F.flatten(F.transform(spans, lambda r: F.sequence(r["start_line"], r["end_line"])))
+    left = let(
+        F.split("text", "\n"),
+        lambda lines: F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines) - F.lit(1).cast("long")), gone), lambda i: F.get(lines, i.cast("int"))),
     )
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     changed = with_runs.withColumn("text", text).where(F.col(spans).isNull() | F.col("text").rlike(r"\S"))

@@ -24,7 +24,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_runs(table(spark, sf_dir, "documents"))
+    return linededup.repeated_runs(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

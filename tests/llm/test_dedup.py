@@ -43,7 +43,40 @@ def line_rows(seed):
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_runs(spark, size):
     rows = line_rows(size)
-    assert tuples(linededup.repeated_runs(documents(spark, rows), size)) == sorted(runs_spec(rows, size), key=repr)
+    assert tuples(linededup.repeated_runs(documents(spark, rows), size).drop("text_key")) == sorted(runs_spec(rows, size), key=repr)
+
+
+@pytest.mark.parametrize("size", [3, 4, 8])
+def test_selected_lines(spark, size):
+    """The least hash of every window is selected, no other line is, and they are as few as winnowing promises."""
+    rng = random.Random(size)
+    rows = [(k, "\n".join(f"{word(rng)} {n}" for n in range(200))) for k in range(10)]
+    found = linededup.selected_lines(documents(spark, rows), size).collect()
+    windows = 10 * (200 - size + 1)
+    assert 1.7 / (size + 1) <= len(found) / windows <= 2.3 / (size + 1)
+    covered = sorted((r.doc_id, r.i - off) for r in found for off in r.offs)
+    assert covered == sorted((d, s) for d in range(10) for s in range(200 - size + 1))
+    for r in found:
+        assert r.near[size - 1] == r.fp and all(r.fp == min(r.near[size - 1 - off : 2 * size - 1 - off]) for off in r.offs)
+
+
+def test_a_line_repeated_in_other_company(spark):
+    """Lines whose first place has other neighbours than the run that repeats."""
+    runs = [(a, b, c) for a in "ABC" for b in "XYZ" for c in "MNO"]
+    rows = [(k, "\n".join(r) + f"\n{k}") for k, r in enumerate(runs)] + [(100 + k, f"{k}!\n" + "\n".join(r)) for k, r in enumerate(runs)]
+    got = tuples(linededup.repeated_runs(documents(spark, rows)).drop("text_key"))
+    assert got == sorted([(100 + k, 1, 3, 3, k, 0) for k in range(27)], key=repr) == sorted(runs_spec(rows), key=repr)
+
+
+def test_runs_of_rows_that_share_an_id(spark):
+    lines = lambda *names: "\n".join(names)
+    rows = [(1, lines("p", "q", "r", "x")), (2, lines("p", "q", "r", "end")), (2, lines("unique one", "unique two", "unique three", "unique four"))]
+    docs = documents(spark, rows)
+    runs = linededup.repeated_runs(docs)
+    assert tuples(runs.drop("text_key")) == [(2, 0, 2, 3, 1, 0)]
+    assert tuples(linededup.delete_runs(docs, runs), "doc_id", "text") == sorted([rows[0], (2, "end"), rows[2]], key=repr)
+    with pytest.raises(TypeError):
+        linededup.repeated_runs(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
 def test_runs_in_odd_tables(spark):
@@ -60,8 +93,8 @@ def test_runs_in_odd_tables(spark):
     texts = {}
     for r in left.collect():
         texts.setdefault(r.doc_id, []).append(r.text)
-    assert texts[21] == ["intro\n\nend"] and texts[23][0] if 23 in texts else True
-    assert texts[20] == [text] and len(texts[None]) == 2 and texts[1] == [None] and texts[2] == [""]
+    assert texts[21] == ["intro\n\nend"] and 23 not in texts
+    assert texts[20] == [text] and texts[22] == [text.replace("\n", "\r\n")] and len(texts[None]) == 2 and texts[1] == [None] and texts[2] == [""]
     assert linededup.repeated_runs(docs.limit(0)).count() == 0
     assert linededup.repeated_runs(linededup.delete_runs(docs.where("doc_id >= 20"), runs)).count() == 0
 
@@ -73,7 +106,7 @@ def test_short_runs_of_many_words(spark):
             (8, one), (9, "p\n" + one + "\nq\ny")]
     docs = documents(spark, rows)
     runs = linededup.repeated_runs(docs, min_words=50)
-    assert tuples(runs) == [(2, 1, 1, 1, 1, 1), (3, 1, 3, 2, 1, 3), (5, 1, 1, 1, 4, 0), (8, 0, 0, 1, 1, 1), (9, 0, 2, 3, 1, 0)]
+    assert tuples(runs.drop("text_key")) == [(2, 1, 1, 1, 1, 1), (3, 1, 3, 2, 1, 3), (5, 1, 1, 1, 4, 0), (8, 0, 0, 1, 1, 1), (9, 0, 2, 3, 1, 0)]
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == dict(rows[:1]) | {
         2: "s\nt", 3: "u\nv", 4: han, 5: "x", 6: rows[5][1], 7: rows[6][1], 9: "y"}
 
