@@ -16,7 +16,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunkdedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return chunkdedup.repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
