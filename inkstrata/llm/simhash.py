@@ -2,26 +2,31 @@
 
 A document's fingerprint has 128 bits: the majority, bit by bit, of the hashes of
 its distinct words (runs of non-blank characters in lower case, without the signs before
-and after; each Han character is a word). Documents with equal fingerprints are joined first. Then every fingerprint is cut into six segments and
-a Hamming ball of radius 1 is enumerated in each segment, for the table as for the
-queries, so that a lookup by equal key finds every pair of fingerprints with a
-segment at a distance of 2 at most. The complete distance of each pair found is
-verified against `radius`. Groups are the connected components of verified pairs;
-the document with the least doc_id stays.
-
-The lookup is complete up to distance 17 (six segments, two bits each). Beyond, up to
-the radius of 20, a pair is missed if every segment differs by three bits or more, which
-for bits at random happens to 3 pairs in 100 at 20, 1 in 100 at 19; tests compare with
-all pairs.
-A segment has 21 bits. Chance meets grow with the square of the documents: at 10^8 and
-more, take 256 bits and 8 segments or more, as bits cost linear work only.
+and after; each Han character is a word). Documents with equal fingerprints are one class.
+The fingerprint of each class is cut into seven segments and a Hamming ball of radius 1 is
+enumerated in each segment, for the table as for the queries, so that a lookup by equal key
+finds every pair of fingerprints with a segment at a distance of 2 at most. Two fingerprints
+at a distance of `radius` = 20 have such a segment, as 7 * 3 > 20: the lookup is complete.
+The complete distance of each pair found is verified against `radius`. Groups are the
+connected components of verified pairs; the document with the least doc_id stays.
+
+The rows of a key come sorted, so a task holds a few MB and the bucket at hand. Small buckets
+are compared all together; in a large one each fingerprint meets only those that no earlier
+one has reached, so a bucket of near copies costs a few comparisons for each of them.
+
+Chance meets grow with the square of the classes over 2 to the power of a segment's bits (18).
+`bits`, `segment_count` and `radius` are parameters, refused where they aren't complete. More
+classes than about 10^8 take more bits at the same radius: 192 bits with segment_count = 7 have
+segments of 27 bits, are as complete and find copies with two thirds of the changed bits.
 
 Defined results
-- One row per document that goes: doc_id, kept_doc_id (the least of the group).
+- One row per document that goes: doc_id, kept_doc_id (of the document of the group that has
+  the least doc_id, then hash of the text), and text_key, the hash of its own text.
 - A text without a word counts as one word, itself stripped; null, empty and blank
   texts have no fingerprint and are never duplicates.
-- Rows with a null doc_id are not compared. Rows that share a doc_id are one document
-  with the least of their fingerprints.
+- Rows with a null doc_id are not compared. Rows that share doc_id and text are the same
+  document; rows that share a doc_id with other texts are documents of their own.
+- doc_id must be a column of integers; others are refused with a TypeError.
 - An empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -36,11 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded, cut_lineage
+from inkstrata.llm.common import bounded, cut_lineage, free_name, integer_id
 from inkstrata.llm.components import components
 from inkstrata.llm.words import normal, split_words
 
-BITS, SEGMENTS, RADIUS = 128, 6, 20
+BITS, SEGMENTS, RADIUS = 128, 7, 20
+SMALL = 64  # buckets of more classes are searched one by one
+CHUNK = 1 << 20  # rows of whole buckets that are compared together
 
 
 def fingerprint_bytes(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +63,9 @@ def fingerprint_bytes(texts: list[str | None], bits: int = BITS) -> tuple[np.nda
             s.add(known(t.strip(), len(index)))
     rows = np.fromiter(chain.from_iterable(sets), np.int64, sum(map(len, sets)))
     words = [w.encode("utf-8", "surrogatepass") for w in index]
-    digests = [b"".join(xxhash.xxh3_128_digest(w, seed=k) for w in words) for k in range(bits // 128)]
+    digests = [b"".join(xxhash.xxh3_128_digest(w, seed=k) for w in words) for k in range(-(-bits // 128))]
     table = np.hstack([np.frombuffer(d, np.uint8).reshape(-1, 16) for d in digests]) if words else np.empty((0, bits // 8), np.uint8)
-    table = np.unpackbits(table, axis=1)
+    table = np.unpackbits(table[:, : bits // 8], axis=1)
     out = np.zeros((len(texts), bits // 8), np.uint8)
     at = 0
     for k, s in enumerate(sets):
@@ -77,8 +84,8 @@ def _fingerprint_batches(bits: int):
             fp, has = fingerprint_bytes(batch.column("text").to_pylist(), bits)
             parts = fp[has].view(">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").filter(pa.array(has)), *(pa.array(np.ascontiguousarray(parts[:, k])) for k in range(len(names)))],
-                ["doc_id", *names],
+                [*(batch.column(n).filter(pa.array(has)) for n in ("doc_id", "text_key")), *(pa.array(np.ascontiguousarray(parts[:, k])) for k in range(len(names)))],
+                ["doc_id", "text_key", *names],
             )
 
     return run, names
@@ -95,11 +102,40 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1)
 
 
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Unite u[k] and v[k] in root, where each node points at the least of its component."""
+    while len(u):
+        x, y = root[u], root[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root[:] = up
+
+
 def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """Least node of each of n nodes' components over verified pairs with an equal key."""
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
+    """Least node of each of n nodes' components over verified pairs with an equal key; keys are sorted."""
     root = np.arange(n)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        left = nodes[start : start + size]
+        found: list[np.ndarray] = []
+        queue: list[int] = []
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+            one = queue.pop()
+            near = distances(fp[left], fp[one]) <= radius
+            if near.any():
+                reached = left[near]
+                left = left[~near]
+                queue.extend(reached.tolist())
+                found.append(np.column_stack([np.full(len(reached), one), reached]))
+        if found:
+            _join(root, *np.concatenate(found).T)
+    small = np.repeat(sizes <= SMALL, sizes)
+    keys, nodes = keys[small], nodes[small]
     live, step = np.arange(len(keys)), 0
     while len(live):
         step += 1
@@ -111,24 +147,41 @@ def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius:
         for at in range(0, len(a), 1 << 20):
             u, v = a[at : at + (1 << 20)], b[at : at + (1 << 20)]
             near = distances(fp[u], fp[v]) <= radius
-            u, v = u[near], v[near]
-            while len(u):
-                x, y = root[u], root[v]
-                apart = x != y
-                u, v, x, y = u[apart], v[apart], x[apart], y[apart]
-                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-                while (up := root[root]).tobytes() != root.tobytes():
-                    root = up
+            _join(root, u[near], v[near])
     return root
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = CHUNK) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by their first column, cut between keys into parts of about `least` rows or one larger bucket."""
+    parts: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        # Where what is held can end: at the last change of the key within this batch, or before it.
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if rows + cut >= least and (cut or columns[0][0] != parts[-1][0][-1]):
+            parts.append([c[:cut] for c in columns])
+            yield [np.concatenate(c) for c in zip(*parts)]
+            parts, rows = [], 0
+            columns = [c[cut:] for c in columns]
+        parts.append(columns)
+        rows += len(columns[0])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, kept_doc_id) of the documents that go; see the module's text."""
+    """(doc_id, kept_doc_id, text_key) of the documents that go; see the module's text."""
+    if radius >= 3 * segment_count:
+        raise ValueError("the lookup is complete to a radius of 3 * segment_count - 1 only")
     make, names = _fingerprint_batches(bits)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    fps = cut_lineage(found.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "f.*"))
-    firsts = fps.groupBy(*names).agg(F.min("doc_id").alias("rep"))
+    rows = docs.where("doc_id is not null").select(integer_id(docs), F.xxhash64("text").alias("text_key"), "text")
+    fields = ", ".join(f"{n} long" for n in names)
+    fps = cut_lineage(rows.mapInArrow(make, f"doc_id long, text_key long, {fields}"))
+    classes = fps.groupBy(*names).agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so that the numbers stay
 
     def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,40 +190,39 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGM
                 flips = np.concatenate([[0], 1 << np.arange(width, dtype=np.int64)])
                 keys = ((value[None, :] ^ flips[:, None]) * segment_count + k).ravel()
                 take = pa.array(np.tile(np.arange(len(fp)), len(flips)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(n).take(take) for n in ["rep", *names])], ["key", "rep", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(n).take(take) for n in ["node", *names])], ["key", "node", *names])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(n).to_numpy() for n in ["key", "rep", *names]] for b in batches]
-        if not parts:
-            return
-        key, rep, *words = (np.concatenate(c) for c in zip(*parts))
-        del parts
-        ids, first, nodes = np.unique(rep, return_index=True, return_inverse=True)
-        fp = np.column_stack([w[first] for w in words]).view(np.uint64)  # bits of a negative number would be counted in its absolute value
-        root = _forest(key, nodes, fp, len(ids), radius)
-        tied = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["u", "v"])
-
-    fields = "key long, rep long, " + ", ".join(f"{n} long" for n in names)
-    edges = firsts.mapInArrow(balls, fields).repartition("key").mapInArrow(match, "u long, v long")
+        for key, node, *words in whole_buckets(batches):
+            ids, first, nodes = np.unique(node, return_index=True, return_inverse=True)
+            fp = np.column_stack([w[first] for w in words]).view(np.uint64)  # bits of a negative number would be counted in its absolute value
+            root = _forest(key, nodes, fp, len(ids), radius)
+            tied = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["u", "v"])
+
+    spread = classes.select("node", *names).mapInArrow(balls, f"key long, node long, {fields}")
+    edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u long, v long")
     roots = components(edges)
-    same = fps.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*names))).select("doc_id", "rep")
-    kept = F.coalesce("root", "rep")
-    return same.join(roots, same.rep == roots.node, "left").select("doc_id", kept.alias("kept_doc_id")).where("doc_id <> kept_doc_id")
+    placed = classes.join(roots, "node", "left").select(*names, "first", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("kept"))
+    fates = placed.join(kept, "root").select(*names, "kept")
+    gone = fps.join(fates, names).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("text_key") != F.col("kept.text_key")))
+    return gone.select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"), "text_key").distinct()
 
 
 def keep_one_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the documents that go; of rows that share a doc_id the first in text order stays.
+    """docs without the documents that go; of rows that are equal in doc_id and text one stays, the first by the other columns.
 
     Rows with a null doc_id stay.
     """
-    left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    shared = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    key, text_key, rank = (free_name(docs, n) for n in ("_key", "_text_key", "_rank"))
+    names = gone.select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key))
+    left = docs.join(names, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left_anti")
+    same = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias(text_key)).agg(F.count("*").alias(rank))
+    shared = cut_lineage(same.where(F.col(rank) > 1).select(F.col("doc_id").alias(key), text_key))
     if shared.isEmpty():
         return left
-    rank = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]))
-    name = "_rank"
-    while name in docs.columns:
-        name += "_"
-    again = left.join(shared, "doc_id", "left_semi").withColumn(name, F.row_number().over(rank)).where(F.col(name) == 1)
-    return left.join(shared, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    on = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(text_key))
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), "text")
+    again = left.join(shared, on, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return left.join(shared, on, "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

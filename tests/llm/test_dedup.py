@@ -249,32 +249,77 @@ def test_fingerprints():
     rng = random.Random(3)
     import xxhash
 
+    assert simhash.fingerprint_bytes(["a b", ""], 192)[0].shape == (2, 24)
+
     for text in [prose(rng, 30), "a", "字文字", "A, a. B!"]:
         ws = {n for w in split_words(text) if (n := normal(w))}
         votes = sum(np.unpackbits(np.frombuffer(xxhash.xxh3_128_digest(w.encode()), np.uint8)).astype(int) * 2 - 1 for w in ws)
         assert (np.unpackbits(simhash.fingerprint_bytes([text])[0][0]) == (votes > 0)).all()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("small", [simhash.SMALL, 1])
+def test_near_duplicates(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
     rows = near_rows(4)
     want, pairs = groups_spec(rows)
-    got = dict(tuples(simhash.near_duplicates(documents(spark, rows))))
-    assert pairs > 50 and set(got) <= set(want)
-    assert sum(got.get(d) == k for d, k in want.items()) >= 0.97 * len(want)
-    near, close = groups_spec(rows, 17)[0], dict(tuples(simhash.near_duplicates(documents(spark, rows), radius=17)))
-    assert close == near  # complete up to 17
+    assert pairs > 50
+    assert dict(tuples(simhash.near_duplicates(documents(spark, rows)).drop("text_key"))) == want
+    assert dict(tuples(simhash.near_duplicates(documents(spark, rows), radius=14, segment_count=5).drop("text_key"))) == groups_spec(rows, 14)[0]
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(documents(spark, rows), segment_count=6)
+
+
+def test_forest():
+    """Components of all pairs at the radius at most, from rows of keys; small and large buckets."""
+    g = np.random.default_rng(5)
+    for small in (1, 8, 1000):
+        n, radius = 300, 20
+        fp = g.integers(0, 1 << 63, (40, 2), dtype=np.uint64)[g.integers(0, 40, n)]
+        for k in range(n):
+            for bit in g.integers(0, 128, g.integers(0, 9)):
+                fp[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+        nodes = np.concatenate([g.permutation(n), g.permutation(n)[:100]])
+        keys = np.sort(np.concatenate([np.zeros(n, int), np.ones(100, int)]))
+        old, simhash.SMALL = simhash.SMALL, small
+        root = simhash._forest(keys, nodes, fp, n, radius)
+        simhash.SMALL = old
+        want = np.arange(n)
+        near = np.array([simhash.distances(fp, f) <= radius for f in fp])
+        while True:
+            new = np.array([want[near[k]].min() for k in range(n)])
+            if (new == want).all():
+                break
+            want = new
+        assert (root == want).all()
+
+
+def test_whole_buckets():
+    import pyarrow as pa
+
+    g = np.random.default_rng(6)
+    for least in (1, 7, 50, 10_000):
+        keys = np.sort(g.integers(0, 60, 900))
+        keys[200:500] = keys[200]
+        at = np.sort(g.integers(0, 900, 12))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(x * 2)], ["a", "b"]) for x in np.split(keys, at)]
+        parts = list(simhash.whole_buckets(batches, least))
+        assert (np.concatenate([p[0] for p in parts]) == keys).all() and all((p[1] == 2 * p[0]).all() for p in parts)
+        assert all(a[0][-1] < b[0][0] for a, b in zip(parts, parts[1:]))
 
 
 def test_near_duplicates_in_odd_tables(spark):
     rng = random.Random(6)
     rows = odd_rows(rng)
-    docs = documents(spark, rows + [(40, rows[0][1]), (41, rows[0][1].upper()), (42, "x" * 200_000)])
+    docs = documents(spark, rows + [(40, rows[0][1]), (41, rows[0][1].upper()), (42, "x" * 200_000), (7, rows[0][1] + " .")])
     gone = simhash.near_duplicates(docs)
-    assert tuples(gone) == [(40, 6), (41, 6), (42, 9)]
+    assert tuples(gone.drop("text_key")) == [(40, 6), (41, 6), (42, 9), (7, 6)]
     left = simhash.keep_one_each(docs, gone)
     ids = sorted((r.doc_id for r in left.collect()), key=str)
-    assert left.columns == docs.columns and ids.count(6) == 1 and ids.count(7) == 1 and ids.count(None) == 2 and not {40, 41, 42} & set(ids)
+    # of the three texts of 7 the two that resemble nothing stay
+    assert left.columns == docs.columns and ids.count(6) == 1 and ids.count(7) == 2 and ids.count(None) == 2 and not {40, 41, 42} & set(ids)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one_each(docs.limit(0), gone.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
 def test_components(spark):
