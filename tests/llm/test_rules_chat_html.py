@@ -138,6 +138,27 @@ def test_html_repairs():
     assert paths("a<br>b</nope>&lt;c <3") == [("", "a"), ("", "b"), ("", "<c <3")]
 
 
+def test_html_attributes():
+    texts = lambda page: [n[1] for n in htmlextract.text_nodes(page)]
+    assert texts("<p title=it's>Hello world</p><b>and</b><p>don't stop</p>") == ["Hello world", "and", "don't stop"]
+    assert texts('a<img alt="5" screen">b') == ["a", "b"] and texts("a<img alt='>' x = \">\">b<i y=>c") == ["a", "b", "c"]
+    assert texts('x<a href="no end>y</a>z') == ["x", "y", "z"] and texts("<!doctype html><? x ?>q<!-- > -->r") == ["q", "r"]
+    assert texts("a <b") == ["a", "<b"] and texts("<script>x</script foo>y<style>z</style/>w") == ["y", "w"]
+    assert [n[0] for n in htmlextract.text_nodes("<p class=a>x<p class='b c'>y<p CLASS=\"d\">z")] == ["p.a", "p.b c", "p.d"]
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    n = 1 << 18
+    for page in ("<a " * n, '<a x="' * n, "<a x='>" * n, "<a =" * n + ">", '<a x=">"' * n, "<div>" * n + "x" + "</p>" * n, "<! " * n, "<!--" * n,
+                 "</script " * n, "<script>" * n, "<p>" * n + "a", "<ul><li>" * n + "a" + "</ol>" * n, "<div>t" * n, "<" * n, "<p a" + "=" * n):
+        began = time.time()
+        htmlextract.extract(page)
+        assert time.time() - began < 8, page[:20]
+    assert htmlextract.extract("k<a " * 3)[2] == "k <a k<a k<a"
+
+
 def test_html_in_odd_tables(spark):
     rng = random.Random(5)
     good = PAGE % f"<p>{prose(rng, 200)}</p>"
