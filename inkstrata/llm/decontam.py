@@ -1,31 +1,38 @@
 """Benchmark decontamination with a BM25 index and block-max WAND.
 
 The test items are the indexed documents and every passage of every training text is
-a query. Passages are twice as long as the longest item and overlap by half, so that
-an item is whole within one of them. A BM25 weight is divided by the item's score
+a query. Items are indexed by length: those of up to 64 words, of up to 128 and so on. The
+passages for an index are twice as long as its longest item may be and overlap by half, so
+that an item is whole within one of them and few words stand around it. A BM25 weight is divided by the item's score
 against itself: the score of a passage is the share of the item that it covers, 0 to 1.
 
 Retrieval returns every item with a score of at least `min_score`:
 1. A bound for all passages of a slice at once: common terms are left out, what they
    can give an item at most is added to its weights for the others, and passages with
-   no item that comes to min_score are dropped. This loses nothing.
+   no item that comes to min_score are dropped. The terms left out are chosen such that
+   they alone can't bring any item to min_score, so this loses nothing.
 2. Block-max WAND over the remaining passages: cursors sorted by item, a pivot by the
    sum of term maxima, a check by the block maxima, then the full score.
 A retrieved item is verified: at least `min_overlap` of the word 5-grams of its
 question and of its answer must stand in the passage. The answer is the last sentence
 of the item, the question the rest; an item of one sentence is both.
 
-The index is sent to the tasks. Its size follows the test items, not the corpus, and is
-checked: more than `shard_bytes` of items are split into several indexes, which are
-sent and queried one after the other, with the document frequencies of all items.
+The indexes are sent to the tasks and queried in one pass over the corpus. Their size
+follows the test items, not the corpus, and is checked: more than `shard_bytes` of items
+are sent in several parts, each of which is another pass, with the document frequencies of
+all items. A benchmark of no more than that is read once, a larger one twice, row by row.
 
 Defined results
 - One row per document and item: doc_id, item_id, score, question_overlap,
-  answer_overlap (four places), of the passage with the best score (ties: the first).
+  answer_overlap (four places), of the passage with the best score (ties: the greatest
+  overlaps), and text_key, the hash of the document's text.
 - Words are runs of non-blank characters, lower case, without signs before and after.
 - Null, empty or wordless texts and items match nothing. Items with equal texts are all
-  reported. Rows with a null doc_id or item_id are left out; rows that share a doc_id
-  are one document with the best of their scores.
+  reported. Rows with a null doc_id or item_id are left out. Rows that share doc_id and
+  text are the same document; rows that share a doc_id with other texts are documents of
+  their own, and drop_contaminated leaves those that hold no item.
+- doc_id and item_id must be columns of integers; others are refused with a TypeError.
+  min_score must be above 0.
 - Empty tables give an empty result; other columns are ignored.
 """
 
@@ -34,7 +41,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -42,16 +49,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded
+from inkstrata.llm.common import bounded, free_name, integer_id
 from inkstrata.llm.words import normal, split_words
 
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP, GRAM = 0.5, 0.5, 5
 BLOCK = 8
-COMMON = 0.15  # the share of a score that left-out common terms may have together
+COMMON = 0.3  # the share of min_score that left-out common terms may have together
 SHARD_BYTES = 16 << 20
 LEAST_PASSAGE = 64
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 
 
@@ -83,9 +90,22 @@ class Index:
     block_max: list[dict[int, float]]  # per term
     best: np.ndarray  # per term
     length: int  # of a passage's half
-    rare: np.ndarray  # per term: not left out of the first bound
-    common_bound: np.ndarray  # per item
     flat: tuple[np.ndarray, np.ndarray, np.ndarray]  # all postings: offsets by term, items, weights
+    bounds: dict[float, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def bound(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms aren't left out of the first bound at this least score, and what the others can give each item."""
+        if least not in self.bounds:
+            rare = np.ones(len(self.term), bool)
+            sums = np.zeros(len(self.ids))
+            for t in sorted(range(len(self.term)), key=lambda t: -len(self.items[t])):
+                new = sums.copy()
+                new[self.items[t]] += self.weights[t]
+                if len(self.items[t]) < 2 or new.max() > COMMON * least:
+                    break
+                sums, rare[t] = new, False
+            self.bounds[least] = rare, sums
+        return self.bounds[least]
 
 
 def build_index(items: list[tuple[int, str]], df: Counter, n: int, average: float, longest: int) -> Index:
@@ -109,18 +129,10 @@ def build_index(items: list[tuple[int, str]], df: Counter, n: int, average: floa
         for b, x in zip((i // BLOCK).tolist(), w.tolist()):
             m[b] = max(m.get(b, 0.0), x)
         maxima.append(m)
-    rare = np.ones(len(term), bool)
-    sums = np.zeros(len(items))
-    for t in sorted(range(len(term)), key=lambda t: -len(found[t])):
-        new = sums.copy()
-        new[found[t]] += weights[t]
-        if len(found[t]) < 2 or new.max() > COMMON:
-            break
-        sums, rare[t] = new, False
     at = np.cumsum([0] + [len(p) for p in found])
     flat = (at, np.concatenate(found), np.concatenate(weights))
     best = np.array([w.max() for w in weights])
-    return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], term, found, weights, maxima, best, longest, rare, sums, flat)
+    return Index([i for i, _ in items], [question_and_answer(t) for _, t in items], term, found, weights, maxima, best, longest, flat)
 
 
 def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -168,7 +180,8 @@ def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[i
 
 def _candidates(index: Index, ids: np.ndarray, doc: np.ndarray, half: np.ndarray, base: np.ndarray, least: float) -> np.ndarray:
     """Numbers of the passages that some item may match; passage = base[doc] + half or one less."""
-    rare = index.rare[ids]
+    rare, common = index.bound(least)
+    rare = rare[ids]
     ids, doc, half = ids[rare], doc[rare], half[rare]
     first = base[doc] + half
     has_before = half > 0
@@ -181,13 +194,13 @@ def _candidates(index: Index, ids: np.ndarray, doc: np.ndarray, half: np.ndarray
     spread = np.repeat(at[term] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     n = len(index.ids)
     cell, where = np.unique(np.repeat(passage, count) * n + items[spread], return_inverse=True)
-    sums = np.bincount(where, weights[spread], len(cell)) + index.common_bound[cell % n]
+    sums = np.bincount(where, weights[spread], len(cell)) + common[cell % n]
     return np.unique(cell[sums >= least - 1e-9] // n)
 
 
-def search(index: Index, texts: list[str | None], least: float = MIN_SCORE, overlap: float = MIN_OVERLAP) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of the verified matches."""
-    raw = [split_words(t) for t in texts]
+def search(index: Index, texts: list[str | None] | list[list[str]], least: float = MIN_SCORE, overlap: float = MIN_OVERLAP) -> list[tuple[int, int, float, float, float]]:
+    """(text, item, score, question overlap, answer overlap) of the verified matches; texts may be split into words."""
+    raw = [t if isinstance(t, list) else split_words(t) for t in texts]
     get = index.term.get
     known = {w: get(normal(w), -1) for w in set(chain.from_iterable(raw))}.__getitem__
     sizes = np.array([len(r) for r in raw])
@@ -208,58 +221,72 @@ def search(index: Index, texts: list[str | None], least: float = MIN_SCORE, over
             if there is None:
                 there = {n: {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} for n in range(1, GRAM + 1)}
             shares = [len(g & there[min(GRAM, len(p))]) / len(g) for p in index.parts[item] if (g := grams(p))]
-            if min(shares) >= overlap and score > out.get((d, item), (0.0, 0.0, 0.0))[0]:
+            if min(shares) >= overlap and (score, *shares) > out.get((d, item), (0.0, 0.0, 0.0)):
                 out[d, item] = (score, *shares)
     return [(d, item, *x) for (d, item), x in out.items()]
 
 
-def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """Indexes of at most about shard_bytes of items each, over the statistics of all items."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
+def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[list[Index]]:
+    """Indexes by length of item, in lists of about shard_bytes of items at most, over the statistics of all items."""
+    rows = benchmark.where("item_id is not null and text is not null").select(integer_id(benchmark, "item_id"), "text").orderBy("item_id", "text")
+    small = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= shard_bytes
+    read = rows.collect() if small else None
     df: Counter = Counter()
-    n = total = longest = 0
-    for r in rows.toLocalIterator():
+    n = total = 0
+    for r in read if small else rows.toLocalIterator():
         if w := words(r.text):
             df.update(set(w))
-            n, total, longest = n + 1, total + len(w), max(longest, len(split_words(r.text)))
-    shard: list[tuple[int, str]] = []
+            n, total = n + 1, total + len(w)
+
+    def built(shard: dict[int, list[tuple[int, str]]]) -> list[Index]:
+        return [build_index(items, df, n, total / n, length) for length, items in sorted(shard.items())]
+
+    shard: dict[int, list[tuple[int, str]]] = {}
     size = 0
-    for r in rows.toLocalIterator():
+    for r in read if small else rows.toLocalIterator():
         if words(r.text):
-            shard.append((r.item_id, r.text))
-            size += len(r.text)
+            length = max(LEAST_PASSAGE, 1 << (len(split_words(r.text)) - 1).bit_length())
+            shard.setdefault(length, []).append((r.item_id, r.text))
+            size += len(r.text.encode("utf-8", "surrogatepass"))
             if size >= shard_bytes:
-                yield build_index(shard, df, n, total / n, max(LEAST_PASSAGE, longest))
-                shard, size = [], 0
+                yield built(shard)
+                shard, size = {}, 0
     if shard:
-        yield build_index(shard, df, n, total / n, max(LEAST_PASSAGE, longest))
+        yield built(shard)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The matches; see the module's text."""
+    if min_score <= 0:
+        raise ValueError("min_score must be above 0")
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.where("doc_id is not null and text is not null").select(integer_id(docs), F.xxhash64("text").alias("text_key"), "text")
     found = spark.createDataFrame([], SCHEMA)
-    for index in indexes(benchmark, shard_bytes):
-        sent = spark.sparkContext.broadcast(index)
+    for shard in indexes(benchmark, shard_bytes):
+        sent = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in bounded(batches, "text", 4 << 20):
-                ids = batch.column("doc_id").to_pylist()
-                hits = search(sent.value, batch.column("text").to_pylist(), min_score, min_overlap)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([ids[h[0]] for h in hits], pa.int64()),
-                        "item_id": pa.array([sent.value.ids[h[1]] for h in hits], pa.int64()),
-                        **{c: pa.array([round(h[k], 4) for h in hits], pa.float64()) for k, c in enumerate(("score", "question_overlap", "answer_overlap"), 2)},
-                    }
-                )
+                raw = [split_words(t) for t in batch.column("text").to_pylist()]
+                for index in sent.value:
+                    hits = search(index, raw, min_score, min_overlap)
+                    at = pa.array([h[0] for h in hits], pa.int64())
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": batch.column("doc_id").take(at),
+                            "text_key": batch.column("text_key").take(at),
+                            "item_id": pa.array([index.ids[h[1]] for h in hits], pa.int64()),
+                            **{c: pa.array([round(h[k], 4) for h in hits], pa.float64()) for k, c in enumerate(("score", "question_overlap", "answer_overlap"), 2)},
+                        }
+                    )
 
         found = found.unionByName(rows.mapInArrow(run, SCHEMA))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return found.groupBy("doc_id", "item_id", "text_key").agg(best).select("doc_id", "item_id", "b.*", "text_key")
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the documents that match an item; rows with a null doc_id stay."""
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    key, text_key = free_name(docs, "_key"), free_name(docs, "_text_key")
+    names = found.select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).distinct()
+    return docs.join(names, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left_anti")

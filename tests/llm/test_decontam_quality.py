@@ -76,6 +76,38 @@ def test_contaminated(spark):
         assert all(np.allclose(got[k], want[k], atol=2e-4) for k in want)
 
 
+@pytest.mark.parametrize("least", [0.02, 0.05, 0.15, 0.5])
+def test_search_at_any_score(least):
+    """Every passage against every item, with terms that most items share."""
+    rng = random.Random(14)
+    pool = [word(rng) for _ in range(12)]
+    items = [(k, " ".join([*rng.sample(pool, 8), *(word(rng) for _ in range(rng.randint(0, 6)))])) for k in range(60)]
+    df = Counter(w for _, t in items for w in set(t.split()))
+    index = decontam.build_index(items, df, len(items), sum(len(t.split()) for _, t in items) / len(items), 64)
+    texts = [" ".join(rng.choice(rng.choice(items)[1].split()) for _ in range(rng.randint(1, 150))) for _ in range(40)] + [pool[0], None]
+    weights = bm25_spec(items)
+    want = {}
+    for d, t in enumerate(texts):
+        raw = (t or "").split()
+        for start in range(0, max(1, len(raw)), 64):
+            there = set(raw[start : start + 128])
+            for i, w in enumerate(weights):
+                if (score := sum(w.get(t, 0) for t in there)) >= least - 1e-9:
+                    want[d, i] = max(want.get((d, i), 0), score)
+    got = {(d, i): s for d, i, s, *_ in decontam.search(index, texts, least, 0.0)}
+    assert want and got == pytest.approx(want)
+
+
+def test_items_of_all_lengths(spark):
+    rng = random.Random(16)
+    items = [(k, f"{prose(rng, n, 999)} {word(rng)} {word(rng)}.") for k, n in enumerate([3, 60, 100, 200, 1000, 3000])]
+    rows = [(k, f"{prose(rng, 700)}\n{t}\n{prose(rng, 900)}") for k, t in items] + [(99, prose(rng, 9000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {x.length for shard in decontam.indexes(bench) for x in shard} == {64, 128, 256, 1024, 4096}
+    found = decontam.contaminated(documents(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(6)] and all(r.score >= 0.99 for r in found)
+
+
 @pytest.mark.parametrize("least", [0.05, 0.3, 0.7])
 def test_block_max_wand(least):
     rng = random.Random(12)
@@ -96,13 +128,14 @@ def test_contaminated_in_odd_tables(spark):
     item = prose(rng, 20, 99) + " the answer is seven."
     rows = odd_rows(rng)
     rows[6] = (5, rows[6][1] + " " + item + " " + prose(rng, 2000))  # deep in a very long text
-    docs = documents(spark, [*rows, (60, item), (60, "x"), (61, item), (61, item), (None, item)])
+    docs = documents(spark, [*rows, (60, item), (60, "x"), (60, None), (61, item), (61, item), (None, item)])
     bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, None), (4, ""), (5, "...")], "item_id long, text string")
     found = decontam.contaminated(docs, bench)
     assert tuples(found, "doc_id", "item_id") == [(d, i) for d in (5, 60, 61) for i in (1, 2)]
     left = decontam.drop_contaminated(docs, found)
     ids = [r.doc_id for r in left.collect()]
-    assert left.columns == docs.columns and not {5, 60, 61} & set(ids) and ids.count(None) == 3 and ids.count(6) == 2
+    assert [r.text for r in left.where("doc_id = 60").collect()] == ["x", None]  # rows of that id that hold no item
+    assert left.columns == docs.columns and not {5, 61} & set(ids) and ids.count(None) == 3 and ids.count(6) == 2
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs, bench.where("item_id = 5")).count() == 0
 
