@@ -54,6 +54,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.Array]]:
+    """The columns of batches sorted by their first column, cut between its values into parts of about `least` rows or one larger bucket."""
+    parts: list[pa.RecordBatch] = []
+    rows = 0
+
+    def whole() -> list[pa.Array]:
+        return [pa.concat_arrays([p.column(k) for p in parts]) for k in range(parts[0].num_columns)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        # Where what is held can end: at the last change of the key within this batch, or before it.
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if rows + cut >= least and (cut or keys[0] != parts[-1].column(0)[-1].as_py()):
+            parts.append(batch.slice(0, cut))
+            yield whole()
+            parts, rows = [], 0
+            batch = batch.slice(cut)
+        parts.append(batch)
+        rows += batch.num_rows
+    if parts:
+        yield whole()
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slice batches so that their text stays near max_bytes; a longer text is alone in its slice."""
     for batch in batches:

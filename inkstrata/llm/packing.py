@@ -1,24 +1,28 @@
 """Best-fit packing with a swap-based local search.
 
 Every document is cut into pieces of at most `capacity` tokens (a token here is a
-run of non-blank characters; another length can be given). The pieces are spread
-by hash over shards of about `shard_rows` pieces, so the work is divided evenly at
-any size. In a shard, best-fit decreasing makes the first bins. Then the emptiest
-underfull bin gives its content to the other underfull bins by moves, one-for-one
-swaps and two-for-one swaps (either way), always the exchange that increases the
-sum of squared fills most, until it is empty or nothing improves; then the next.
+run of characters other than blanks; a character of a script without blanks between words,
+such as Han, is one by itself; another length can be given). The pieces are spread by a
+hash of their place in the table over shards of about `shard_rows` pieces, so the work is
+divided evenly at any size and whatever the ids are. In a shard, best-fit decreasing makes
+the first bins. Then the emptiest underfull bin gives its content to the other underfull
+bins by moves, else one-for-one swaps, else two-for-one swaps (either way), of each kind the
+one that increases the sum of squared fills most, until it is empty or nothing improves;
+then the next. Between shards nothing is exchanged: of each some bins stay underfull.
 
 Defined results
 - One row per piece: doc_id, piece, start, n_tokens, bin_id, slot.
 - A text that is null, empty or blank gives one row with n_tokens 0 and no bin.
 - A text longer than the capacity gives full pieces, each alone in its bin, and a rest.
 - Rows with a null or a repeated doc_id are packed each for itself.
-- Equal sizes are ordered by doc_id and piece. An empty table gives an empty result;
+- doc_id must be a column of integers; others are refused with a TypeError.
+- Equal sizes are ordered by doc_id and piece; of equal gains the first counts. An empty table gives an empty result;
   columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import cut_lineage
+from inkstrata.llm.common import cut_lineage, integer_id, whole_buckets
 
 CAPACITY = 2048
 SHARD_ROWS = 16384
+TASKS = 10_000  # shards beyond that share tasks
+#: Thai, kana and Han: each character is a token.
+SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id long, slot long"
 
 
 def word_count(text: Column) -> Column:
-    """Number of runs of non-blank characters."""
-    parts = F.size(F.split(text, r"\s+")) - text.rlike(r"\A\s").cast("int") - text.rlike(r"\s\z").cast("int")
-    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(parts).cast("long")
+    """Number of runs of characters that aren't ASCII blanks; those of SINGLE count one by one. A null has 0."""
+    mixed = F.regexp_count(text, F.lit(rf"[{SINGLE}]|[^\s{SINGLE}]+"))
+    n = F.when(text.rlike(f"[{SINGLE}]"), mixed).otherwise(F.regexp_count(text, F.lit(r"\S+")))
+    return F.coalesce(n, F.lit(0)).cast("long")
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -130,33 +138,34 @@ def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None) -> DataFrame:
     """Assign every document to bins of `capacity` tokens; see the module's text."""
     n = word_count(F.col("text")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+    counted = docs.select(integer_id(docs), n.alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("long")
+    spread = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = cut_lineage(
-        counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        spread.select(
             "doc_id",
             "piece",
             (F.col("piece") * capacity).alias("start"),
             F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long").alias("n_tokens"),
+            F.monotonically_increasing_id().alias("at"),  # written, so that it stays when a task runs again
         )
     )
     shards = max(1, -(-pieces.where("n_tokens > 0").count() // shard_rows))
 
-    def shard_bins(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins = pack_sizes(rows["n_tokens"].to_pylist(), capacity)
-        bin_id = np.empty(rows.num_rows, np.int64)
-        slot = np.empty(rows.num_rows, np.int64)
-        for b, items in enumerate(bins):
-            bin_id[items] = (key[0].as_py() << 32) + b
-            slot[items] = np.arange(len(items))
-        return rows.drop_columns(["shard"]).append_column("bin_id", pa.array(bin_id)).append_column("slot", pa.array(slot))
-
-    packed = (
-        pieces.where("n_tokens > 0")
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-        .groupBy("shard")
-        .applyInArrow(shard_bins, SCHEMA)
-    )
+    def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_buckets(batches, 1):
+            shard, n_tokens = columns[0].to_numpy(), columns[4].to_numpy()
+            for rows in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                bin_id, slot = np.empty((2, len(rows)), np.int64)
+                for b, items in enumerate(pack_sizes(n_tokens[rows].tolist(), capacity)):
+                    bin_id[items] = (int(shard[rows[0]]) << 32) + b
+                    slot[items] = np.arange(len(items))
+                own = [c.slice(int(rows[0]), len(rows)) for c in columns[1:]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(bin_id), pa.array(slot)], ["doc_id", "piece", "start", "n_tokens", "bin_id", "slot"])
+
+    tasks = min(shards, TASKS)
+    sharded = pieces.where("n_tokens > 0").select(F.pmod(F.xxhash64("at"), F.lit(shards)).alias("shard"), "doc_id", "piece", "start", "n_tokens")
+    placed = sharded.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
     none = F.lit(None).cast("long")
-    return packed.unionByName(pieces.where("n_tokens <= 0").withColumn("bin_id", none).withColumn("slot", none))
+    rest = pieces.where("n_tokens <= 0").drop("at").withColumn("bin_id", none).withColumn("slot", none)
+    return placed.mapInArrow(pack_shards, SCHEMA).unionByName(rest)

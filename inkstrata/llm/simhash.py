@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded, cut_lineage, free_name, integer_id
+from inkstrata.llm.common import bounded, cut_lineage, free_name, integer_id, whole_buckets
 from inkstrata.llm.components import components
 from inkstrata.llm.words import normal, split_words
 
@@ -151,27 +151,6 @@ def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius:
     return root
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], least: int = CHUNK) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by their first column, cut between keys into parts of about `least` rows or one larger bucket."""
-    parts: list[list[np.ndarray]] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy() for c in batch.columns]
-        # Where what is held can end: at the last change of the key within this batch, or before it.
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if rows + cut >= least and (cut or columns[0][0] != parts[-1][0][-1]):
-            parts.append([c[:cut] for c in columns])
-            yield [np.concatenate(c) for c in zip(*parts)]
-            parts, rows = [], 0
-            columns = [c[cut:] for c in columns]
-        parts.append(columns)
-        rows += len(columns[0])
-    if parts:
-        yield [np.concatenate(c) for c in zip(*parts)]
-
-
 def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, kept_doc_id, text_key) of the documents that go; see the module's text."""
     if radius >= 3 * segment_count:
@@ -193,7 +172,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGM
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(n).take(take) for n in ["node", *names])], ["key", "node", *names])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, *words in whole_buckets(batches):
+        for columns in whole_buckets(batches, CHUNK):
+            key, node, *words = (c.to_numpy() for c in columns)
             ids, first, nodes = np.unique(node, return_index=True, return_inverse=True)
             fp = np.column_stack([w[first] for w in words]).view(np.uint64)  # bits of a negative number would be counted in its absolute value
             root = _forest(key, nodes, fp, len(ids), radius)
