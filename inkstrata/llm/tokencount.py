@@ -20,6 +20,8 @@ Defined results
 - One row per doc_id: doc_id, n_pretokens, n_tokens. Rows that share a doc_id, null
   included, are added up.
 - Null and empty texts have 0 of both. Strings of special tokens are ordinary text.
+- doc_id must be a column of integers; others are refused with a TypeError. A vocabulary
+  that isn't there is refused with a FileNotFoundError before anything runs.
 - An empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -39,7 +41,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded
+from inkstrata.llm.common import bounded, integer_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 HOT, OFFERED, COUNTED = 200_000, 20_000, 1_000_000
@@ -85,7 +87,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, hot: int = HOT)
     context = docs.sparkSession.sparkContext
     with open(vocabulary, "rb") as file:
         ranks = context.broadcast(file.read())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(integer_id(docs), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value).encode_ordinary
@@ -144,20 +146,21 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, hot: int = HOT)
                 yield pa.RecordBatch.from_arrays([p, d, pa.array(n), pa.array(m)], ["p", "doc_id", "n", "m"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a pre-token are in one partition, so it is counted once."""
+        """All rows of a pre-token come together, so it is counted once."""
         encode = encoder(ranks.value).encode_ordinary
-        counted: dict[str | None, int] = {None: 1}
+        last, pieces = None, 1
         for batch in batches:
             p = batch.column("p").dictionary_encode()
-            for x in p.dictionary.to_pylist():
-                if x not in counted:
-                    counted[x] = len(encode(x))
-            n = np.array([counted[x] for x in p.dictionary.to_pylist()] + [1], np.int64)
-            at = p.indices.fill_null(len(n) - 1).to_numpy(zero_copy_only=False)
+            names = p.dictionary.to_pylist()
+            n = np.array([pieces if x == last else len(encode(x)) for x in names] + [1], np.int64)
+            if names:
+                last, pieces = names[-1], int(n[-2])
+            at = p.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("m"), pa.array(n[at] * batch.column("n").to_numpy())], ["doc_id", "m", "n"])
 
     flat = rows.mapInArrow(spread, "p string, doc_id long, n long, m long")
     # Texts' own rows have no pre-token; the document spreads them over the partitions.
     key = F.when(F.col("p").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("p"))
-    joined = flat.repartition(key).mapInArrow(join, "doc_id long, m long, n long")
+    # Sorted, so that a task holds one pre-token at a time and counts it once.
+    joined = flat.repartition(key).sortWithinPartitions("p").mapInArrow(join, "doc_id long, m long, n long")
     return joined.groupBy("doc_id").agg(F.sum("m").alias("n_pretokens"), F.sum("n").alias("n_tokens"))
