@@ -14,16 +14,20 @@ low quality (labels.quality = 0) and toxic (labels.toxic = 1).
 
 The model is trained on the driver with Adam on a bounded sample of labelled documents:
 for each of the three classes the `per_class` documents with the least hash of their id,
-of at most `most_chars` characters, as documented parameters; every fifth is held out to
-measure accuracy. Scoring reads every passage of every document whole; a document is
+of at most `most_chars` characters, as documented parameters, all of which it learns from
+(`held_out` learns from four fifths and measures accuracy on the others). Scoring reads every passage of every document whole; a document is
 scored where it is read, without a shuffle. The model, a few megabytes, is sent to the tasks.
 
 Defined results
 - One row per row of documents: doc_id, quality_score (1 - probability of low quality),
   toxic_score, n_passages, keep (both probabilities below `limit`).
 - A text without words has no passage: null scores, 0 passages, not kept.
-- Labels with a null doc_id, quality or toxic, and repeated labels, are left out of the
-  sample but for one. If a head's labels lack one of both kinds, or there is no labelled
+- Labels with a null doc_id, quality or toxic are left out of the sample; of repeated ones
+  the least counts, and of the texts that share a labelled doc_id the least that is short
+  enough, so the same tables give the same model. Labels without such a text take no place
+  in the sample.
+- doc_id must be a column of integers, in labels too; others are refused with a TypeError.
+- If a head's labels lack one of both kinds, or there is no labelled
   document, that head rejects nothing and gives probability 0.
 - An empty table gives an empty result; columns other than doc_id and text are ignored,
   and filter_documents passes all columns on.
@@ -41,10 +45,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded
+from inkstrata.llm.common import bounded, cut_lineage, integer_id
 from inkstrata.llm.words import normal, split_words
 
 PASSAGE, WIDTH, ATTENTION = 64, 16, 8
@@ -292,27 +296,34 @@ def fit(texts: list[str], low: list[bool], toxic: list[bool], epochs: int = EPOC
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> list:
     """Rows (doc_id, text, quality, toxic), at most per_class of each of clean, low quality and toxic."""
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(integer_id(labels))
     known = known.agg(F.min(F.struct("quality", "toxic")).alias("l")).select("doc_id", "l.*")
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    parts = []
-    short = docs.where((F.length("text") <= most_chars) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for k in range(3):
-        least = known.where(kind == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        parts.append(least.withColumn("kind", F.lit(k)))
+    short = docs.where((F.length("text") <= most_chars) & F.col("doc_id").isNotNull()).select(integer_id(docs), "text")
+    # Ids first, which are few bytes, then the texts of those that are chosen: 3 x per_class at most.
+    there = cut_lineage(known.join(short.select("doc_id").distinct(), "doc_id").withColumn("kind", kind))
+    parts = [there.where(F.col("kind") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in range(3)]
     ids = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most 6 x per_class ids
-    rank = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_class).orderBy("kind", "r").select("doc_id", "text", "quality", "toxic").collect()
+    texts = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality", "toxic", "kind").agg(F.min("text").alias("text"))
+    return texts.orderBy("kind", F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "quality", "toxic").collect()
+
+
+def _fit_rows(rows: list) -> Model:
+    return fit([r.text for r in rows], [r.quality == 0 for r in rows], [r.toxic == 1 for r in rows])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
+    """The model of the whole sample."""
+    return _fit_rows(labelled_sample(docs, labels, per_class, most_chars))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> tuple[Model, float]:
-    """The model and its accuracy (keep or not) on the fifth of the sample that is held out."""
+def held_out(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> float:
+    """Accuracy (keep or not), on every fifth document of the sample, of a model of the others."""
     rows = labelled_sample(docs, labels, per_class, most_chars)
     fold, held = [r for k, r in enumerate(rows) if k % 5], [r for k, r in enumerate(rows) if k % 5 == 0]
-    model = fit([r.text for r in fold], [r.quality == 0 for r in fold], [r.toxic == 1 for r in fold])
+    model = _fit_rows(fold)
     right = [s is not None and (max(s) < LIMIT) == (r.quality != 0 and r.toxic != 1) for r, s in zip(held, score(model, [r.text for r in held]))]
-    return model, float(np.mean(right)) if held else float("nan")
+    return float(np.mean(right)) if held else float("nan")
 
 
 def score(model: Model, texts: list[str | None], known: Known | None = None) -> list[tuple[float, float] | None]:
@@ -326,7 +337,7 @@ def score(model: Model, texts: list[str | None], known: Known | None = None) ->
 
 def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, per_class: int = PER_CLASS) -> DataFrame:
     """Scores and verdicts; see the module's text."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(sent.value.vocabulary)
@@ -349,13 +360,13 @@ def classify(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, per_class
                 ["doc_id", "quality_score", "toxic_score", "n_passages", "keep"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(integer_id(docs), "text")
     return rows.mapInArrow(run, "doc_id long, quality_score double, toxic_score double, n_passages long, keep boolean")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class)[0])
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(sent.value.vocabulary)

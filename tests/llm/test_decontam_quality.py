@@ -175,7 +175,59 @@ def test_classifier_on_held_out_documents(spark):
     toxic = [got[d].toxic_score >= 0.5 for d, q, t in truth if t]
     assert len(got) == 700 and np.mean(right) >= 0.95 and np.mean(toxic) >= 0.9
     kept = {r.doc_id for r in quality.filter_documents(docs, known).collect()}
-    assert kept == {d for d, r in got.items() if r.keep} and quality.train(docs, known)[1] >= 0.9
+    assert kept == {d for d, r in got.items() if r.keep} and quality.held_out(docs, known) >= 0.9
+
+
+def scores_spec(model, text):
+    """Passage by passage and word by word, in plain Python."""
+    w = {k: x.astype(float).tolist() for k, x in model.weights.items()}
+    raw = quality.split_words(text)
+    times = lambda v, m: [sum(a * row[j] for a, row in zip(v, m)) for j in range(len(m[0]))]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    encoded = []
+    for start in range(0, len(raw), quality.PASSAGE):
+        words = raw[start : start + quality.PASSAGE]
+        total = [0.0] * quality.WIDTH
+        shapes = [0.0] * quality.SHAPES
+        for k, word_ in enumerate(words):
+            for f in quality.features(quality.normal(word_)):
+                if f in model.vocabulary:
+                    total = [a + b for a, b in zip(total, w["words"][model.vocabulary[f]])]
+            bits = quality.shape(word_)
+            for b in range(quality.SHAPES - 1):
+                shapes[b] += (bits >> b) & 1
+            if start + k and quality.normal(word_) == quality.normal(raw[start + k - 1]):
+                shapes[-1] += 1
+        n = len(words)
+        pre = [a / math.sqrt(n) + b + c for a, b, c in zip(total, times([x / n for x in shapes], w["shapes"]), w["bias"])]
+        encoded.append([math.tanh(x) for x in pre])
+    gates = [sum(c * math.tanh(a) * sigmoid(b) for a, b, c in zip(times(h, w["V"]), times(h, w["U"]), w["w"])) for h in encoded]
+    weights = [math.exp(g - max(gates)) for g in gates]
+    z = [sum(a * h[j] for a, h in zip(weights, encoded)) / sum(weights) for j in range(quality.WIDTH)]
+    return tuple(sigmoid(x + c) for x, c in zip(times(z, w["C"]), w["c"]))
+
+
+def test_scores_by_brute_force(spark):
+    rng = random.Random(26)
+    rows, labels = labelled(rng, 200)
+    model = quality.fit([t for _, t in rows], [q == 0 for _, q, _ in labels], [t == 1 for _, _, t in labels])
+    assert model.heads == (True, True) and len(model.vocabulary) > 5
+    texts = [t for _, t in rows[:25]] + ["a", "a a A a! b", "WORD " * 70, "字" * 130, "x" * 30, "%% !!", STEMS[0] + "x " + prose(rng, 300)]
+    for text, got in zip(texts, quality.score(model, texts)):
+        assert got == pytest.approx(scores_spec(model, text), abs=2e-5), text[:30]
+
+
+def test_sample(spark):
+    """Labels without a text take no place; of texts and labels that share an id the least counts, whatever their order."""
+    rows = [(k, f"text {k}") for k in range(40)] + [(3, "a text"), (3, None), (4, "z" * 99), (5, "z" * 99), (5, "y" * 99)]
+    labels = [(k, k % 2, 0, "t") for k in range(0, 400)] + [(2, 1, 0, "t"), (None, 1, 1, "t")]
+    found = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows), random.Random(seed).shuffle(labels)
+        found.append(quality.labelled_sample(documents(spark, rows), spark.createDataFrame(labels, LABELS), 10, 50))
+    assert found[0] == found[1] and len(found[0]) == 20 and len({r.doc_id for r in found[0]}) == 20
+    every = {r.doc_id: r for r in quality.labelled_sample(documents(spark, rows), spark.createDataFrame(labels, LABELS), 100, 50)}
+    assert set(every) == set(range(40)) and every[3].text == "a text" and every[2].quality == 0 and every[5].text == "text 5"
 
 
 def test_one_passage_decides(spark):
