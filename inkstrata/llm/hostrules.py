@@ -23,7 +23,9 @@ Defined results
   rule, six places), host_verdict (ok or rejected), keep.
 - A null text counts as empty: too_short. Null sources form one host.
 - Prior: with mean m and sample variance v of the hosts' rates, alpha + beta is
-  m (1 - m) / v - 1, within 1 and 10^6; with v null or 0, it is 10.
+  m (1 - m) / v - 1, within 1 and 10^6; with v null or 0, it is 10. v is that of the rates
+  as measured: the chance variation of small hosts is in it, so rates are shrunk less than
+  they would be without it.
 - Rows with null or repeated doc_id are judged each for itself. An empty table gives
   an empty result; other columns are ignored.
 """
