@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def integer_id(df: DataFrame, column: str = "doc_id") -> Column:
     """The id column as a long; a column of any other type than an integer is refused before anything runs."""
     kind = dict(df.dtypes).get(column)

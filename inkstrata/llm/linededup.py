@@ -20,6 +20,10 @@ deleted. With `min_words`, runs of fewer lines count too if they hold that many
 are selected in the same way, by their own length. The query op4_line_dedup, like its SQL,
 goes without, the pipeline takes MIN_WORDS.
 
+With `copies`, the near copies that simhash.near_duplicates finds, a document keeps the
+windows whose first place is in its own group of copies: who deletes near copies as wholes
+afterwards, as the pipeline does, finds them whole, instead of remnants that resemble nothing.
+
 First places are found by partial aggregation and kept as a table before the join, whose
 sides are then plain shuffles, so that adaptive execution can split a frequent fingerprint.
 
@@ -106,7 +110,7 @@ def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) ->
 
 
 def _hits(docs: DataFrame, size: int, min_words: int | None) -> DataFrame:
-    """Windows that stand earlier: doc_id, text_key, s, e (lines that aren't blank, e excluded), start_line, end_line, first_doc_id, first_line."""
+    """Windows that stand earlier: doc_id, text_key, s, e (lines that aren't blank, e excluded), start_line, end_line, first_doc_id, first_text_key, first_line."""
     seeds = selected_lines(docs, size, min_words)
     place = ["doc_id", "text_key", "i", "near", "places"]
     firsts = cut_lineage(seeds.groupBy("k", "fp").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -124,25 +128,37 @@ def _hits(docs: DataFrame, size: int, min_words: int | None) -> DataFrame:
             F.get("places", F.col("k") - 1 - off).alias("start_line"), F.get("places", 2 * F.col("k") - 2 - off).alias("end_line"), *more,
         )
 
-    columns = ["doc_id", "text_key", "s", "e", "start_line", "end_line", "first_doc_id", "first_line"]
-    here = spread("same", F.col("first.doc_id").alias("first_doc_id"), F.get("first.places", F.col("k") - 1 - F.col("off")).alias("first_line"))
+    columns = ["doc_id", "text_key", "s", "e", "start_line", "end_line", "first_doc_id", "first_text_key", "first_line"]
+    here = spread("same", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_text_key"), F.get("first.places", F.col("k") - 1 - F.col("off")).alias("first_line"))
     key = ["k", "off", "fp", "g"]
     others = spread("rest", "k", "off", "fp", F.xxhash64(window("near", F.col("off"))).alias("g"))
     others_first = cut_lineage(
         others.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "s", "start_line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
     there = others.join(others_first, key).where(after("doc_id", "text_key", "s"))
-    there = there.withColumn("first_doc_id", F.col("first.doc_id")).withColumn("first_line", F.col("first.start_line"))
+    there = there.select("*", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_text_key"), F.col("first.start_line").alias("first_line"))
     return here.select(columns).unionByName(there.select(columns)).distinct()
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """The runs to delete; with min_words also shorter runs of so many words. See the module's text."""
+def _of_other_groups(hits: DataFrame, copies: DataFrame) -> DataFrame:
+    """The hits whose first place isn't in the document's own group of near copies."""
+    for prefix in ("", "first_"):
+        own = [F.col(f"{prefix}{c}") for c in ("doc_id", "text_key")]
+        member = copies.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.struct("kept_doc_id", "kept_text_key").alias("_kept"))
+        joined = hits.join(member, (own[0] == F.col("_d")) & (own[1] == F.col("_t")), "left")
+        alone = F.struct(own[0].alias("kept_doc_id"), own[1].alias("kept_text_key"))
+        hits = joined.withColumn(f"{prefix}group", F.coalesce("_kept", alone)).drop("_d", "_t", "_kept")
+    return hits.where((F.col("group") != F.col("first_group")) | ((F.col("doc_id") == F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key"))))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None, copies: DataFrame | None = None) -> DataFrame:
+    """The runs to delete; with min_words also shorter runs of so many words, with copies none that near copies share. See the module's text."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("s", F.desc("e"))
     reached = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = _hits(docs, min_lines, min_words).withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int"))
+    hits = _hits(docs, min_lines, min_words)
+    runs = (hits if copies is None else _of_other_groups(hits, copies)).withColumn("new", F.coalesce(F.col("s") > reached, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         runs.groupBy("doc_id", "text_key", "run")

@@ -21,7 +21,7 @@ segments of 27 bits, are as complete and find copies with two thirds of the chan
 
 Defined results
 - One row per document that goes: doc_id, kept_doc_id (of the document of the group that has
-  the least doc_id, then hash of the text), and text_key, the hash of its own text.
+  the least doc_id, then hash of the text), text_key and kept_text_key, the hashes of both texts.
 - A text without a word counts as one word, itself stripped; null, empty and blank
   texts have no fingerprint and are never duplicates.
 - Rows with a null doc_id are not compared. Rows that share doc_id and text are the same
@@ -152,7 +152,7 @@ def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, kept_doc_id, text_key) of the documents that go; see the module's text."""
+    """(doc_id, kept_doc_id, text_key, kept_text_key) of the documents that go; see the module's text."""
     if radius >= 3 * segment_count:
         raise ValueError("the lookup is complete to a radius of 3 * segment_count - 1 only")
     make, names = _fingerprint_batches(bits)
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGM
     kept = placed.groupBy("root").agg(F.min("first").alias("kept"))
     fates = placed.join(kept, "root").select(*names, "kept")
     gone = fps.join(fates, names).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("text_key") != F.col("kept.text_key")))
-    return gone.select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"), "text_key").distinct()
+    return gone.select("doc_id", F.col("kept.doc_id").alias("kept_doc_id"), "text_key", F.col("kept.text_key").alias("kept_text_key")).distinct()
 
 
 def keep_one_each(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -100,6 +100,22 @@ def test_runs_in_odd_tables(spark):
     assert linededup.repeated_runs(linededup.delete_runs(docs.where("doc_id >= 20"), runs)).count() == 0
 
 
+def test_runs_that_near_copies_share(spark):
+    """With the near copies given, a document keeps what it shares with its own copies and loses what it shares with others."""
+    rng = random.Random(18)
+    body, passage, other = prose(rng, 300).split("\n"), prose(rng, 60), prose(rng, 200)
+    edited = list(body)
+    edited[5] = "an edited line."
+    rows = [(1, other + "\n" + passage), (2, "\n".join(body[:20]) + "\n" + passage + "\n" + "\n".join(body[20:])), (3, "\n".join(edited[:20]) + "\n" + passage + "\n" + "\n".join(edited[20:])),
+            (4, prose(rng, 90) + "\n" + "\n".join(body[:10]))]
+    docs = documents(spark, rows)
+    copies = simhash.near_duplicates(docs)
+    assert tuples(copies, "doc_id", "kept_doc_id") == [(3, 2)]
+    left = dict(tuples(linededup.delete_runs(docs, linededup.repeated_runs(docs, copies=copies)), "doc_id", "text"))
+    assert left[1] == rows[0][1] and left[2] == "\n".join(body) and left[3] == "\n".join(edited) and left[4] + "\n" + "\n".join(body[:10]) == rows[3][1]
+    assert tuples(simhash.near_duplicates(documents(spark, sorted(left.items()))), "doc_id", "kept_doc_id") == [(3, 2)]
+
+
 def test_short_runs_of_many_words(spark):
     w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
     one, two, han = w("a", 60), w("b", 30) + "\n\n" + w("c", 30), "字词" * 30
@@ -108,7 +124,7 @@ def test_short_runs_of_many_words(spark):
     docs = documents(spark, rows)
     runs = linededup.repeated_runs(docs, min_words=50)
     assert tuples(runs.drop("text_key")) == [(2, 1, 1, 1, 1, 1), (3, 1, 3, 2, 1, 3), (5, 1, 1, 1, 4, 0), (8, 0, 0, 1, 1, 1), (9, 0, 2, 3, 1, 0)]
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == dict(rows[:1]) | {
+    assert dict(tuples(linededup.delete_runs(docs, runs), "doc_id", "text")) == dict(rows[:1]) | {
         2: "s\nt", 3: "u\nv", 4: han, 5: "x", 6: rows[5][1], 7: rows[6][1], 9: "y"}
 
 
@@ -264,8 +280,8 @@ def test_near_duplicates(spark, monkeypatch, small):
     rows = near_rows(4)
     want, pairs = groups_spec(rows)
     assert pairs > 50
-    assert dict(tuples(simhash.near_duplicates(documents(spark, rows)).drop("text_key"))) == want
-    assert dict(tuples(simhash.near_duplicates(documents(spark, rows), radius=14, segment_count=5).drop("text_key"))) == groups_spec(rows, 14)[0]
+    assert dict(tuples(simhash.near_duplicates(documents(spark, rows)).drop("text_key", "kept_text_key"))) == want
+    assert dict(tuples(simhash.near_duplicates(documents(spark, rows), radius=14, segment_count=5).drop("text_key", "kept_text_key"))) == groups_spec(rows, 14)[0]
     with pytest.raises(ValueError):
         simhash.near_duplicates(documents(spark, rows), segment_count=6)
 
@@ -313,7 +329,7 @@ def test_near_duplicates_in_odd_tables(spark):
     rows = odd_rows(rng)
     docs = documents(spark, rows + [(40, rows[0][1]), (41, rows[0][1].upper()), (42, "x" * 200_000), (7, rows[0][1] + " .")])
     gone = simhash.near_duplicates(docs)
-    assert tuples(gone.drop("text_key")) == [(40, 6), (41, 6), (42, 9), (7, 6)]
+    assert tuples(gone.drop("text_key", "kept_text_key")) == [(40, 6), (41, 6), (42, 9), (7, 6)]
     left = simhash.keep_one_each(docs, gone)
     ids = sorted((r.doc_id for r in left.collect()), key=str)
     # of the three texts of 7 the two that resemble nothing stay
