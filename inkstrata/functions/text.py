@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
+#: The same characters in a row, for trimming without a regular expression.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 HAN = r"[一-鿿]"
 
@@ -22,15 +24,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def strip(c: Column) -> Column:
-    return rstrip(lstrip(c))
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -78,14 +80,15 @@ def groups(lines: Column, starts: Callable[[Column, Column], Column]) -> Column:
     def build(ls: Column) -> Column:
         every = F.when(F.size(ls) > 0, F.sequence(F.lit(0), F.size(ls) - 1)).otherwise(F.array().cast("array<int>"))
         firsts = F.filter(every, lambda i: (i == 0) | starts(ls, i))
-        return let(
+        joined = let(
             firsts,
             lambda f: F.transform(
                 f, lambda a, k: F.array_join(F.slice(ls, a + 1, F.coalesce(F.get(f, k + 1), F.size(ls)) - a), "\n")
             ),
         )
+        return F.when(ls.isNotNull(), joined)
 
-    return F.when(lines.isNotNull(), let(lines, build))
+    return let(lines, build)
 
 
 def first_line(c: Column, most: int) -> Column:

@@ -91,8 +91,8 @@ def number_footnotes(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     blank = X.is_blank(line)
-    numbered = ~blank & line.rlike(r"(?dU)^([\s\x1c-\x1f]*)(\d+)\.([\s\x1c-\x1f]+.+)$")
-    marked = ~blank & ~numbered & line.rlike(r"(?dU)^([\s\x1c-\x1f]*)\[\^([a-zA-Z0-9]+)\]:(.+)$")
+    numbered = ~blank & line.rlike(NUMBERED)
+    marked = ~blank & ~numbered & line.rlike(MARKED)
     by_doc = Window.partitionBy("doc_id").orderBy("line_no")
     by_run = Window.partitionBy("doc_id", "_run").orderBy("line_no")
     with_kind = lines.withColumn("_kind", F.when(blank, 0).when(numbered, 1).when(marked, 2).otherwise(3))
@@ -199,8 +199,51 @@ def join_headings(text: Column) -> Column:
     return F.replace(one, F.lit("\n目\n\n录\n"), F.lit("\n目录\n"))
 
 
+NUMBERED = r"(?dU)^([\s\x1c-\x1f]*)(\d+)\.([\s\x1c-\x1f]+.+)$"
+MARKED = r"(?dU)^([\s\x1c-\x1f]*)\[\^([a-zA-Z0-9]+)\]:(.+)$"
+
+
+def number_footnotes_in(text: Column) -> Column:
+    """number_footnotes over the LF lines of a text, where it stands: no line leaves its document."""
+    kind = lambda x: F.when(X.is_blank(x), 0).when(x.rlike(NUMBERED), 1).when(x.rlike(MARKED), 2).otherwise(3)
+    key = lambda i: F.when(i < 26, F.char(i + 97)).otherwise((i - 25).cast("string"))
+
+    def numbered(x: Column, k: Column) -> Column:
+        lead = F.when(x["kind"] == 2, F.regexp_extract(x["line"], MARKED, 1)).otherwise("")
+        rest = F.when(x["kind"] == 1, F.regexp_extract(x["line"], NUMBERED, 3)).otherwise(F.regexp_extract(x["line"], MARKED, 3))
+        return F.concat(lead, F.lit("[^"), key(k), F.lit("]:"), rest, F.lit("\n"))
+
+    def run(part: Column) -> Column:
+        """A run of lines: no line after its first is of kind 3."""
+        is_note = lambda x: x["kind"].isin(1, 2)
+        notes = F.filter(F.transform(part, lambda x, i: F.when(is_note(x), i)), lambda i: i.isNotNull())
+        return X.let(notes, lambda ns: F.transform(part, lambda x, i: F.when(is_note(x), numbered(x, (F.array_position(ns, i) - 1).cast("int"))).otherwise(x["line"])))
+
+    def build(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        firsts = F.filter(every, lambda i: (i == 0) | (F.get(lines, i)["kind"] == 3))
+        parts = X.let(firsts, lambda f: F.transform(f, lambda a, k: F.slice(lines, a + 1, F.coalesce(F.get(f, k + 1), F.size(lines)) - a)))
+        return F.array_join(F.flatten(F.transform(parts, run)), "\n")
+
+    lines = F.transform(X.lf_lines(text), lambda x: F.struct(x.alias("line"), kind(x).alias("kind")))
+    return F.when(text.isNotNull(), X.let(lines, build))
+
+
+def toc_levels(toc: DataFrame) -> DataFrame:
+    """(doc_id, levels): a map of each document's TOC names to levels; of equal names the last item decides."""
+    last = toc.groupBy("doc_id", "name").agg(F.max_by("level", "toc_no").alias("level"))
+    return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "level"))).alias("levels"))
+
+
+def mark_titles_in(text: Column, levels: Column) -> Column:
+    """mark_titles over the LF lines of a text with its document's map of names to levels, which may be null."""
+    mark = lambda x, level: F.when(level.isNull(), x).otherwise(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), X.strip(x)))
+    line = lambda x: X.let(F.try_element_at(levels, X.clean_title(x)), lambda level: mark(x, level))
+    return F.when(levels.isNull(), text).otherwise(F.array_join(F.transform(X.lf_lines(text), line), "\n"))
+
+
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line); a null text has no lines, so what is joined from lines lacks its document."""
+    """(doc_id, line_no, line); a null text has no lines."""
     return docs.select("doc_id", F.posexplode(X.lf_lines(F.col("text"))).alias("line_no", "line"))
 
 
@@ -213,7 +256,9 @@ def join_lines(lines: DataFrame) -> DataFrame:
 def clean_books(docs: DataFrame, tocs: DataFrame, styles: DataFrame | None = None, default: str | None = "$1") -> DataFrame:
     """The whole cleaning: images, styles, footnotes, line heads, blank lines, headings, titles, wrong splits.
 
-    docs and tocs are (doc_id, text), styles is (doc_id, code, template) or None.
+    docs and tocs are (doc_id, text), styles is (doc_id, code, template) or None. A row of
+    docs is a row of the result, a null text stays null; contents and styles are joined as
+    one map a document, and the text is changed where it stands.
     """
     text = F.col("text")
     books = docs.select("doc_id", delete_images(text).alias("text"))
@@ -223,7 +268,6 @@ def clean_books(docs: DataFrame, tocs: DataFrame, styles: DataFrame | None = Non
         maps = styles.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "template"))).alias("styles"))
         books = books.join(maps, "doc_id", "left")
     books = books.select("doc_id", mark_styles(text, F.col("styles"), default)["text"].alias("text"))
-    noted = join_lines(number_footnotes(explode_lines(books)))
-    smooth = noted.select("doc_id", join_headings(squeeze_blank_lines(strip_line_heads(text))).alias("text"))
-    titled = join_lines(mark_titles(explode_lines(smooth), parse_toc(tocs)))
+    smooth = books.select("doc_id", join_headings(squeeze_blank_lines(strip_line_heads(number_footnotes_in(text)))).alias("text"))
+    titled = smooth.join(toc_levels(parse_toc(tocs)), "doc_id", "left").select("doc_id", mark_titles_in(text, F.col("levels")).alias("text"))
     return titled.select("doc_id", join_wrong_splits(text).alias("text"))

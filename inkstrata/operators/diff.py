@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from inkstrata.functions import text as X
 from inkstrata.functions.types import DIFF_PART, OPCODE
 from inkstrata.operators.split import split_by_title
+from inkstrata.sources.files import write_documents
 
 
 def sections(docs: DataFrame, levels: list[int] | None = None) -> DataFrame:
@@ -32,12 +33,17 @@ def sections(docs: DataFrame, levels: list[int] | None = None) -> DataFrame:
 def section_pairs(before: DataFrame, after: DataFrame, levels: list[int] | None = None, every: bool = False) -> DataFrame:
     """Sections of both versions by number: (doc_id, sec_no, title_a, title_b, section_a, section_b).
 
-    Sections that one version lacks are left out, or with `every` have nulls.
+    Sections that one version lacks are left out, or with `every` have nulls. The documents
+    are joined and cut where they meet, so that a text is shuffled once and in one piece.
     """
-    a = sections(before, levels).select("doc_id", "sec_no", F.col("title").alias("title_a"), F.col("section").alias("section_a"))
-    b = sections(after, levels).select("doc_id", "sec_no", F.col("title").alias("title_b"), F.col("section").alias("section_b"))
-    joined = a.join(b, ["doc_id", "sec_no"], "full_outer" if every else "inner")
-    return joined.select("doc_id", "sec_no", "title_a", "title_b", "section_a", "section_b")
+    both = before.select("doc_id", F.col("text").alias("a")).join(after.select("doc_id", F.col("text").alias("b")), "doc_id", "full_outer" if every else "inner")
+    cut = both.select("doc_id", split_by_title(F.col("a"), levels).alias("a"), split_by_title(F.col("b"), levels).alias("b"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    count = (F.greatest if every else F.least)(*(F.when(F.col(c).isNull(), 0).otherwise(size(c)) for c in "ab"))
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    rows = cut.select("doc_id", F.inline(F.transform(numbers, lambda i: F.struct(i.alias("sec_no"), F.get("a", i).alias("section_a"), F.get("b", i).alias("section_b")))))
+    title = lambda c: X.clean_title(F.split(X.strip(F.col(c)), "\n")[0])
+    return rows.select("doc_id", "sec_no", title("section_a").alias("title_a"), title("section_b").alias("title_b"), "section_a", "section_b")
 
 
 def titles_agree(before: DataFrame, after: DataFrame, levels: list[int] | None = None) -> DataFrame:
@@ -328,6 +334,12 @@ def escape(c: Column) -> Column:
     return c
 
 
+def write_diff_files(pages: DataFrame, folder: str) -> None:
+    """Write (path, html) as <name of the path without its last extension>_diff.html into the folder."""
+    name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    write_documents(pages.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.col("html").alias("text")), folder, "_diff.html")
+
+
 def word_page(parts: Column, title: Column) -> Column:
     """A page that shows the parts of word_diff; their texts are escaped."""
     mark = lambda p, open_, shut: F.concat(F.lit(open_), escape(p["value"]), F.lit(shut))

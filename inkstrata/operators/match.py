@@ -10,39 +10,64 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkstrata.functions.types import MATCH
 
+PLACED = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("match", MATCH)])
+ARROW_PLACED = pa.struct(
+    [
+        ("pos", pa.int32()),
+        (
+            "match",
+            pa.struct(
+                [
+                    ("fragment_text", pa.string()),
+                    ("modified_text", pa.string()),
+                    ("real_text", pa.string()),
+                    ("location", pa.struct([("start", pa.int32()), ("end", pa.int32())])),
+                    ("ratio", pa.float64()),
+                ]
+            ),
+        ),
+    ]
+)
+LISTED = 1000  # replacements for all documents that are looked for in one call
+
 
 def common_lengths(text: str, fragment: str, longest: int) -> np.ndarray:
-    """[k, i]: longest common subsequence of the fragment and the k characters of text from i; k from 0 to longest."""
+    """[k, i]: longest common subsequence of the fragment and the k characters of text from i; k from 0 to longest.
+
+    The fragment's places are the bits of as many 64-bit words as it needs; a carry goes from word to word.
+    """
     n, m = len(text), len(fragment)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.zeros((longest + 1, n), np.int32)
-    if m <= 64:
-        alphabet, which = np.unique(codes, return_inverse=True)
-        masks = np.array([sum(1 << j for j, c in enumerate(fragment) if ord(c) == a) for a in alphabet.tolist()], np.uint64)
-        place = np.append(masks[which], np.zeros(longest, np.uint64))  # nothing matches beyond the end
-        every = np.uint64((1 << m) - 1)
-        s = np.full(n, every, np.uint64)
-        for k in range(1, longest + 1):
-            u = s & place[k - 1 : k - 1 + n]
-            s = ((s + u) | (s - u)) & every
-            out[k] = m - np.bitwise_count(s)
-        return out
+    alphabet, which = np.unique(codes, return_inverse=True)
     bits: dict[int, int] = {}
     for j, c in enumerate(fragment):
         bits[ord(c)] = bits.get(ord(c), 0) | 1 << j
-    places = [bits.get(c, 0) for c in codes.tolist()] + [0] * longest
-    full = (1 << m) - 1
-    for i in range(n):
-        s = full
-        for k in range(1, longest + 1):
-            u = s & places[i + k - 1]
-            s = ((s + u) | (s - u)) & full
-            out[k, i] = m - s.bit_count()
+    sizes = [min(64, m - at) for at in range(0, m, 64)]
+    fulls = [np.uint64((1 << size) - 1) for size in sizes]
+    places = []
+    for w in range(len(sizes)):
+        masks = np.array([(bits.get(a, 0) >> 64 * w) & ((1 << 64) - 1) for a in alphabet.tolist()], np.uint64)
+        places.append(np.append(masks[which], np.zeros(longest, np.uint64)))  # nothing matches beyond the end
+    s = [np.full(n, full, np.uint64) for full in fulls]
+    for k in range(1, longest + 1):
+        carry = np.zeros(n, np.uint64)
+        zeros = np.zeros(n, np.int64)
+        for w, full in enumerate(fulls):
+            u = s[w] & places[w][k - 1 : k - 1 + n]
+            part = s[w] + u
+            total = part + carry
+            carry = ((part < u) | (total < part)).astype(np.uint64)
+            s[w] = (total | (s[w] - u)) & full
+            zeros += sizes[w] - np.bitwise_count(s[w])
+        out[k] = zeros
     return out
 
 
@@ -56,6 +81,8 @@ def best_window(text: str, fragment: str, len_offset: int = 3) -> tuple[int, int
     sizes = [k for k in range(m - len_offset, m + len_offset) if 0 < k <= n]
     if not sizes or not m:
         return None
+    if m in sizes and (at := text.find(fragment)) >= 0:  # nothing is more like it, nothing shorter as like
+        return at, at + m, 100.0
     common = common_lengths(text, fragment, sizes[-1])
     best = None
     for k in sizes:
@@ -67,30 +94,56 @@ def best_window(text: str, fragment: str, len_offset: int = 3) -> tuple[int, int
     return best
 
 
+def _match(text: str | None, fragment: str | None, modified: str | None, len_offset: int) -> tuple:
+    hit = best_window(text, fragment, len_offset) if text and fragment else None
+    return (fragment, modified, text[hit[0] : hit[1]] if hit else None, {"start": hit[0], "end": hit[1]} if hit else None, hit[2] if hit else 0.0)
+
+
 def match_struct(text: Column, fragment: Column, modified: Column, len_offset: int = 3) -> Column:
     """A match record of the best window; real_text and location are null and ratio 0 if there is none."""
 
     @F.pandas_udf(MATCH)
     def run(texts: pd.Series, fragments: pd.Series, changed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, f, m in zip(texts, fragments, changed):
-            hit = best_window(t, f, len_offset) if t and f else None
-            rows.append((f, m, t[hit[0] : hit[1]] if hit else None, {"start": hit[0], "end": hit[1]} if hit else None, hit[2] if hit else 0.0))
-        return pd.DataFrame(rows, columns=MATCH.names)
+        return pd.DataFrame([_match(t, f, m, len_offset) for t, f, m in zip(texts, fragments, changed)], columns=MATCH.names)
 
     return run(text, fragment, modified)
 
 
+def matches_of(text: Column, wanted: Column, len_offset: int = 3) -> Column:
+    """Array of (pos, match) for an array of (pos, fragment, modified), in its order: a text goes to Python once, whatever is looked for."""
+
+    @F.arrow_udf(T.ArrayType(PLACED))
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = []
+        for t, ws in zip(texts.to_pylist(), lists.to_pylist()):
+            rows.append([{"pos": w["pos"], "match": dict(zip(MATCH.names, _match(t, w["fragment"], w["modified"], len_offset)))} for w in ws or []])
+        return pa.array(rows, pa.list_(ARROW_PLACED))
+
+    return run(text, wanted)
+
+
+def _searched(docs: DataFrame, replacements: DataFrame, len_offset: int, how: str) -> DataFrame:
+    """(row, doc_id, text, m): the matches of each text in one array, or in several rows for a long list without a doc_id."""
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    row = F.struct(F.col("pos").cast("int").alias("pos"), "fragment", "modified")
+    if "doc_id" in replacements.columns:
+        wanted = replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("wanted"))
+        pairs = docs.join(wanted, "doc_id", how)
+    else:
+        # One list for all documents, in blocks of LISTED at most: mostly one row, which is joined to every text.
+        blocks = max(1, -(-replacements.count() // LISTED))
+        block = F.pmod(F.xxhash64("pos", "fragment", "modified"), F.lit(blocks))
+        wanted = replacements.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("wanted")).drop("_block")
+        pairs = docs.join(wanted, F.lit(True), how)
+    return pairs.select("row", "doc_id", "text", matches_of(F.col("text"), F.col("wanted"), len_offset).alias("m"))
+
+
 def find_matches(docs: DataFrame, replacements: DataFrame, len_offset: int = 3) -> DataFrame:
     """(doc_id, pos, match) for each text and each row of replacements (pos, fragment, modified).
 
     If replacements has a doc_id, rows meet their own document only.
     """
-    if "doc_id" in replacements.columns:
-        pairs = docs.select("doc_id", "text").join(replacements.select("doc_id", "pos", "fragment", "modified"), "doc_id")
-    else:
-        pairs = docs.select("doc_id", "text").crossJoin(replacements.select("pos", "fragment", "modified"))
-    return pairs.select("doc_id", "pos", match_struct(F.col("text"), F.col("fragment"), F.col("modified"), len_offset).alias("match"))
+    return _searched(docs, replacements, len_offset, "inner").select("doc_id", F.inline("m"))
 
 
 def replace_matches(text: Column, matches: Column, threshold: float = 80, at_location: bool = False) -> Column:
@@ -122,7 +175,11 @@ def replace_matches(text: Column, matches: Column, threshold: float = 80, at_loc
 
 
 def apply_replacements(docs: DataFrame, replacements: DataFrame, threshold: float = 80, len_offset: int = 3) -> DataFrame:
-    """(doc_id, text) with all replacements found and applied."""
-    found = find_matches(docs, replacements, len_offset).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "match"))).alias("m"))
-    joined = docs.select("doc_id", "text").join(found, "doc_id", "left")
-    return joined.select("doc_id", replace_matches(F.col("text"), F.transform("m", lambda x: x["match"]), threshold).alias("text"))
+    """(doc_id, text) with all replacements found and applied, in the order of the replacements' pos.
+
+    A list of more than LISTED replacements for all documents is found in blocks and gathered by document.
+    """
+    found = _searched(docs, replacements, len_offset, "left")
+    if "doc_id" not in replacements.columns and replacements.count() > LISTED:
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    return found.select("doc_id", replace_matches(F.col("text"), F.transform("m", lambda x: x["match"]), threshold).alias("text"))

@@ -21,9 +21,10 @@ def segment_list(segments: DataFrame, head: int = 15) -> DataFrame:
 
 
 def segment_totals(segments: DataFrame) -> DataFrame:
-    """(doc_id, segments, target_chars, context_chars, all_chars) by document."""
-    listed = segment_list(segments)
-    out = listed.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("length").alias("target_chars"), F.sum("context_length").alias("context_chars"))
+    """(doc_id, segments, target_chars, context_chars, all_chars) by document, of stripped texts."""
+    size = lambda name: F.length(X.strip(F.coalesce(F.col(name), F.lit("")))).cast("long")
+    sizes = segments.select("doc_id", size("target").alias("t"), size("context").alias("c"))
+    out = sizes.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("t").alias("target_chars"), F.sum("c").alias("context_chars"))
     return out.withColumn("all_chars", F.col("target_chars") + F.col("context_chars"))
 
 
@@ -64,9 +65,9 @@ def review_text(segments: DataFrame) -> DataFrame:
 
 def merged_text(joined: DataFrame) -> DataFrame:
     """(doc_id, text, pending): the outputs with empty lines between them; pending ones are left out and counted."""
-    text = ordered_text(joined, "output", "\n\n")
-    left = joined.groupBy("doc_id").agg(F.count(F.when(F.col("output").isNull(), 1)).alias("pending"))
-    return text.join(left, "doc_id").select("doc_id", "text", "pending")
+    listed = F.array_sort(F.collect_list(F.when(F.col("output").isNotNull(), F.struct("seg_no", F.col("output").alias("v")))))
+    pending = F.count(F.when(F.col("output").isNull(), 1)).alias("pending")
+    return joined.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["v"]), "\n\n").alias("text"), pending)
 
 
 def token_totals(docs: DataFrame) -> DataFrame:

@@ -8,21 +8,36 @@ should treat `key`, a digest of prompt and content, as an idempotency key.
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as X
+from inkstrata.sources.files import read_documents, read_triples, write_documents
 
 PROMPT = (
     "You are a careful copy editor. Correct errors of spelling, punctuation and grammar in the text between the target marks. "
     "Context and reference are for reading only. Keep the layout. Answer with the corrected text and nothing else."
 )
+
+
+def load_prompt(path: str | None = None) -> str:
+    """The prompt in a file, read when it is asked for, or the one above."""
+    if path is None:
+        return PROMPT
+    with open(path, encoding="utf-8") as file:
+        return file.read().strip()
+
+
 RESULT = "doc_id string, seg_no int, output string, error string, at timestamp"
 
 
@@ -45,29 +60,77 @@ class ReplacingClient:
         return text
 
 
+def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.load(answer)
+
+
+def _setting(name: str) -> str:
+    """A setting of the executor's environment; keys are never part of a plan."""
+    if not (value := os.environ.get(name)):
+        raise ValueError(f"set {name} in the environment of the executors")
+    return value
+
+
 @dataclass
 class HttpChatClient:
-    """A service with the usual chat completions interface; the key is read from the environment of the executor."""
+    """A service with the usual chat completions interface; url and key are names of variables in the environment of the executors."""
 
-    url: str
     model: str
-    key_variable: str
+    url_variable: str = "INKSTRATA_CHAT_URL"
+    key_variable: str = "INKSTRATA_CHAT_KEY"
     temperature: float = 1.3
     timeout: float = 120
+    attempts: int = 3
+
+    def wait_after(self, attempt: int) -> float:
+        return 5 + 3 * attempt
 
     def revise(self, messages: list[dict[str, str]], key: str) -> str | None:
-        import json
-        import os
-        import urllib.request
+        body = {"model": self.model, "messages": messages, "temperature": self.temperature, "stream": False}
+        headers = {"Authorization": f"Bearer {_setting(self.key_variable)}", "Idempotency-Key": key}
+        return _post(_setting(self.url_variable), body, headers, self.timeout)["choices"][0]["message"]["content"]
+
+
+@dataclass
+class HttpGenerateClient:
+    """A service that takes the instruction in a field of its own and the rest as one content; its key goes in a header of its own.
+
+    It waits the same time after each empty answer. What it answers is passed on as it is.
+    """
 
-        body = json.dumps({"model": self.model, "messages": messages, "temperature": self.temperature, "stream": False}).encode()
-        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[self.key_variable]}", "Idempotency-Key": key}
-        with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"]
+    model: str
+    url_variable: str = "INKSTRATA_GENERATE_URL"
+    key_variable: str = "INKSTRATA_GENERATE_KEY"
+    temperature: float = 1.3
+    timeout: float = 120
+    attempts: int = 3
+    strips_marks: bool = False
 
+    def wait_after(self, attempt: int) -> float:
+        return 3
 
-#: Clients by model name; add to it to offer more.
-CLIENTS: dict[str, Callable[[str], Client]] = {"offline": lambda model: ReplacingClient()}
+    def revise(self, messages: list[dict[str, str]], key: str) -> str | None:
+        told = "\n\n".join(m["content"] for m in messages if m["role"] == "system")
+        asked = "\n\n".join(m["content"] for m in messages if m["role"] == "user")
+        body = {
+            "system_instruction": {"parts": [{"text": told}]},
+            "contents": [{"role": "user", "parts": [{"text": asked}]}],
+            "generationConfig": {"temperature": self.temperature},
+        }
+        url = f"{_setting(self.url_variable).rstrip('/')}/{self.model}:generateContent"
+        found = _post(url, body, {"X-Api-Key": _setting(self.key_variable), "Idempotency-Key": key}, self.timeout)
+        parts = [p.get("text", "") for c in found.get("candidates", [])[:1] for p in c.get("content", {}).get("parts", [])]
+        return "".join(parts) or None
+
+
+#: Clients by the beginning of a model's name; add to it to offer more.
+CLIENTS: dict[str, Callable[[str], Client]] = {
+    "offline": lambda model: ReplacingClient(),
+    "chat/": lambda model: HttpChatClient(model.removeprefix("chat/")),
+    "generate/": lambda model: HttpGenerateClient(model.removeprefix("generate/")),
+}
 
 
 def client_for(model: str) -> Client | None:
@@ -169,12 +232,21 @@ def prompts(segments: DataFrame, prompt: str = PROMPT) -> DataFrame:
     return segments.select("doc_id", "seg_no", messages(content, reference, prompt).alias("messages")).withColumn("key", F.sha2(F.to_json("messages"), 256))
 
 
-def revise(segments: DataFrame, client: Client, per_minute: float = 15, max_concurrent: int = 3, prompt: str = PROMPT, attempts: int = 3, retry_wait: Callable[[int], float] = lambda k: 5 + 3 * k) -> DataFrame:
+def revise(segments: DataFrame, client: Client, per_minute: float = 15, max_concurrent: int = 3, prompt: str = PROMPT, attempts: int | None = None, retry_wait: Callable[[int], float] | None = None) -> DataFrame:
     """Results of the segments. max_concurrent tasks call the service, each at its share of per_minute.
 
     A segment that fails gets an error and no output; it stays pending. Write the
-    result once; computing it again calls the service again.
+    result once; computing it again calls the service again. Attempts and waits between
+    them are the client's own, or 3 and 5, 8 seconds, unless they are given.
     """
+    attempts = attempts or getattr(client, "attempts", 3)
+    retry_wait = retry_wait or getattr(client, "wait_after", lambda k: 5 + 3 * k)
+    spread = prompts(segments, prompt)
+    return _answered(_called(spread, client, per_minute, max_concurrent, attempts, retry_wait), client)
+
+
+def _called(asked: DataFrame, client: Client, per_minute: float, max_concurrent: int, attempts: int, retry_wait: Callable[[int], float]) -> DataFrame:
+    """RESULT rows of (doc_id, seg_no, messages, key)."""
     pace = per_minute / max_concurrent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,8 +263,12 @@ def revise(segments: DataFrame, client: Client, per_minute: float = 15, max_conc
                 # One row at a time, so that a task that is stopped loses what it hasn't passed on only.
                 yield pd.DataFrame({"doc_id": [str(row.doc_id)], "seg_no": [row.seg_no], "output": [output], "error": [error], "at": [pd.Timestamp.now("UTC")]})
 
-    spread = prompts(segments, prompt).select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no", "messages", "key").repartition(max_concurrent)
-    return spread.mapInPandas(run, RESULT).withColumn("output", strip_marks(F.col("output")))
+    spread = asked.select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no", "messages", "key").repartition(max_concurrent)
+    return spread.mapInPandas(run, RESULT)
+
+
+def _answered(results: DataFrame, client: Client) -> DataFrame:
+    return results.withColumn("output", strip_marks(F.col("output"))) if getattr(client, "strips_marks", True) else results
 
 
 def revise_pending(segments: DataFrame, results_path: str, client: Client, start: int | list[int] = 1, stop: int | None = None, **options) -> DataFrame:
@@ -200,8 +276,8 @@ def revise_pending(segments: DataFrame, results_path: str, client: Client, start
     spark = segments.sparkSession
     try:
         done = spark.read.schema(RESULT).parquet(results_path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         done = spark.createDataFrame([], RESULT)
     revise(pending(segments, done, start, stop), client, **options).write.mode("append").parquet(results_path)
@@ -212,3 +288,26 @@ def revise_whole(docs: DataFrame, client: Client, **options) -> DataFrame:
     """Results for whole texts (doc_id, text), each as one segment."""
     none = F.lit(None).cast("string")
     return revise(docs.select("doc_id", F.lit(0).alias("seg_no"), F.col("text").alias("target"), none.alias("context"), none.alias("reference")), client, **options)
+
+
+def revise_triples(triples: DataFrame, client: Client, per_minute: float = 15, max_concurrent: int = 3, prompt: str = PROMPT) -> DataFrame:
+    """Results for whole files with context and reference: rows (doc_id, target, context, reference) of read_triples, each one call."""
+    asked = triples.select(
+        "doc_id", F.lit(0).alias("seg_no"), messages(target_block(F.col("target")), file_reference_block(F.col("context"), F.col("reference")), prompt).alias("messages")
+    ).withColumn("key", F.sha2(F.to_json("messages"), 256))
+    waits = getattr(client, "wait_after", lambda k: 5 + 3 * k)
+    return _answered(_called(asked, client, per_minute, max_concurrent, getattr(client, "attempts", 3), waits), client)
+
+
+def write_outputs(results: DataFrame, folder: str, suffix: str = ".revised.md") -> None:
+    """One file for each document that has an answer, after the call; what failed leaves the file that was there as it is."""
+    write_documents(results.where("coalesce(output, '') <> ''").select("doc_id", F.col("output").alias("text")), folder, suffix)
+
+
+def revise_file(spark: SparkSession, target: str, folder: str, client: Client, context: str | None = None, reference: str | None = None, **options) -> DataFrame:
+    """Read one file and its optional companions, revise it in one call, write the answer into the folder; the result rows."""
+    alone = context is None and reference is None
+    results = revise_whole(read_documents(spark, target), client, **options) if alone else revise_triples(read_triples(spark, target, context, reference), client, **options)
+    kept = spark.createDataFrame(results.collect(), RESULT)  # one row; so the service is called once
+    write_outputs(kept, folder)
+    return kept

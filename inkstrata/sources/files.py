@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,20 +80,29 @@ def results_json(joined: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id").agg(F.to_json(F.transform(listed, lambda x: x["output"]), {"ignoreNullFields": "false"}).alias("text"))
 
 
+def _file_system(folder: str) -> tuple[FileSystem, str]:
+    """The file system of a folder, given by path or URI, and the path in it."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    return FileSystem.from_uri(folder) if "://" in folder else (LocalFileSystem(), folder)
+
+
 def write_documents(docs: DataFrame, folder: str, suffix: str = ".md") -> None:
-    """Write (doc_id, text) as one file each into a folder that all executors share.
+    """Write (doc_id, text) as one file each into a folder that all executors share, on any file system that Arrow knows.
 
-    A file appears whole or not at all, and a task that runs again writes the same.
+    A file appears whole or not at all, and a task that runs again writes the same. A null
+    text is an empty file.
     """
-    os.makedirs(folder, exist_ok=True)
 
     def write(rows: Iterable) -> None:
+        system, base = _file_system(folder)
+        system.create_dir(base, recursive=True)
         for row in rows:
-            path = os.path.join(folder, f"{row.doc_id}{suffix}")
+            path = f"{base}/{row.doc_id}{suffix}"
             part = f"{path}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8", newline="") as out:
-                out.write(row.text or "")
-            os.replace(part, path)
+            with system.open_output_stream(part) as out:
+                out.write((row.text or "").encode("utf-8", "surrogatepass"))
+            system.move(part, path)
 
     docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").foreachPartition(write)
 

@@ -43,6 +43,19 @@ def test_number_footnotes(spark):
     keys = [chr(97 + k) for k in range(26)] + ["1", "2", "3", "4"]
     want = ["[^a]: A\n", "[^b]: B\n", "", "  [^c]: C\n", "body", "[^a]: D\n", "x"] + [f"[^{k}]: n\n" for k in keys]
     assert got == "\n".join(want)
+    assert one(spark, clean.number_footnotes_in(F.col("text")), "\n".join(given), None, "", "\n1. x") == ["\n".join(want), None, "", "\n[^a]: x\n"]
+
+
+def test_notes_and_titles_where_they_stand(spark):
+    """The same as over exploded lines."""
+    rng = random.Random(6)
+    pool = ["", " ", "1. a", "  22. b c", "[^x]: d", "\t[^9]:e", "body", "甲乙", " 甲 乙 3", "丙丁", "3.", "[^]:f"]
+    docs = spark.createDataFrame([(f"d{k}", "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for k in range(60)], "doc_id string, text string")
+    toc = spark.createDataFrame([(f"d{k}", i, n, v) for k in range(0, 60, 2) for i, (n, v) in enumerate([("甲乙", 1), ("丙丁", 2), ("甲乙", k % 4 + 1)])], "doc_id string, toc_no int, name string, level int")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(docs.select("doc_id", clean.number_footnotes_in(F.col("text")))) == rows(clean.join_lines(clean.number_footnotes(clean.explode_lines(docs))))
+    here = docs.join(clean.toc_levels(toc), "doc_id", "left").select("doc_id", clean.mark_titles_in(F.col("text"), F.col("levels")))
+    assert rows(here) == rows(clean.join_lines(clean.mark_titles(clean.explode_lines(docs), toc)))
 
 
 def test_letter_footnotes(spark):
@@ -78,7 +91,9 @@ def test_small_ones(spark):
 
 
 def test_clean_books(spark):
-    docs = spark.createDataFrame([("a", "![image](p){w}\n甲 乙\n\n\n\n [x]{.s1}\n1. note\n" + "字" * 31 + "\n末")], "doc_id string, text string")
+    docs = spark.createDataFrame([("n", None), ("e", ""), ("a", "![image](p){w}\n甲 乙\n\n\n\n [x]{.s1}\n1. note\n" + "字" * 31 + "\n末")], "doc_id string, text string")
     tocs = spark.createDataFrame([("a", "- 甲乙… 3")], "doc_id string, text string")
     styles = spark.createDataFrame([("a", 1, "**$1**")], "doc_id string, code int, template string")
-    assert clean.clean_books(docs, tocs, styles).first().text == "\n# 甲 乙\n\n**x**\n[^a]: note\n\n" + "字" * 31 + "末"
+    got = {r.doc_id: r.text for r in clean.clean_books(docs, tocs, styles).collect()}
+    assert got["n"] is None and got["e"] == ""
+    assert got["a"] == "\n# 甲 乙\n\n**x**\n[^a]: note\n\n" + "字" * 31 + "末"

@@ -1,9 +1,11 @@
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from inkstrata.operators import report, revise, split
+from inkstrata.operators import diff, report, revise, split
 from inkstrata.sources import convert, files
 from inkstrata.streaming import segments as stream
 
@@ -62,6 +64,92 @@ def test_clients():
     assert isinstance(revise.client_for("offline-1"), revise.ReplacingClient) and revise.client_for("nothing") is None
 
 
+class Service(BaseHTTPRequestHandler):
+    """Answers both interfaces in upper case; the first call of each fails or is empty."""
+
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.seen.append((self.path, dict(self.headers), body))
+        again = sum(p == self.path for p, *_ in Service.seen) > 1
+        if self.path == "/chat":
+            if not again:
+                return self.send_error(503)
+            answer = {"choices": [{"message": {"content": body["messages"][-1]["content"].upper().replace("TARGET", "target")}}]}
+        else:
+            text = body["contents"][0]["parts"][0]["text"].upper()
+            answer = {"candidates": [{"content": {"parts": [{"text": text[:5]}, {"text": text[5:]}]}}] if again else []}
+        raw = json.dumps(answer).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def service(monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Service.seen = []
+    base = f"http://127.0.0.1:{server.server_port}"
+    for name, value in (("CHAT_URL", f"{base}/chat"), ("CHAT_KEY", "k1"), ("GENERATE_URL", f"{base}/v1/"), ("GENERATE_KEY", "k2")):
+        monkeypatch.setenv(f"INKSTRATA_{name}", value)
+    yield Service
+    server.shutdown()
+
+
+def test_services(service):
+    turns = [{"role": "system", "content": "P"}, {"role": "assistant", "content": ""}, {"role": "user", "content": "ref"}, {"role": "user", "content": "<target>\nx\n</target>"}]
+    chat, generate = revise.client_for("chat/m-1"), revise.client_for("generate/m-2")
+    waits = []
+    assert revise.with_retries(lambda: chat.revise(turns, "id"), chat.attempts, chat.wait_after, waits.append) == ("<target>\nX\n</target>", None) and waits == [5]
+    path, headers, body = service.seen[-1]
+    assert (path, headers["Authorization"], headers["Idempotency-Key"]) == ("/chat", "Bearer k1", "id")
+    assert body == {"model": "m-1", "messages": turns, "temperature": 1.3, "stream": False}
+    assert revise.with_retries(lambda: generate.revise(turns, "id"), generate.attempts, generate.wait_after, waits.append)[0] == "REF\n\n<TARGET>\nX\n</TARGET>" and waits == [5, 3]
+    path, headers, body = service.seen[-1]
+    assert path == "/v1/m-2:generateContent" and headers["X-Api-Key"] == "k2" and body["system_instruction"]["parts"][0]["text"] == "P"
+
+
+def test_service_without_settings(monkeypatch):
+    monkeypatch.delenv("INKSTRATA_CHAT_KEY", raising=False)
+    assert "INKSTRATA_CHAT_KEY" in revise.with_retries(lambda: revise.client_for("chat/m").revise([], "k"), 1)[1]
+
+
+def test_file_jobs(spark, tmp_path):
+    for name, text in (("book.md", "one teh two"), ("around.md", "before"), ("notes.md", "note")):
+        (tmp_path / name).write_text(text)
+    paths = {n: str(tmp_path / f"{n}.md") for n in ("book", "around", "notes")}
+    out = str(tmp_path / "out")
+    row = revise.revise_file(spark, paths["book"], out, revise.ReplacingClient(), per_minute=1e6).first()
+    assert (row.doc_id, row.output) == ("book", "one the two") and (tmp_path / "out" / "book.revised.md").read_text() == "one the two"
+
+    class Telling:
+        def revise(self, messages, key):
+            return "|".join(m["content"] for m in messages[1:]) if "teh" in messages[-1]["content"] else None
+
+        def wait_after(self, attempt):
+            return 0
+
+    row = revise.revise_file(spark, paths["book"], out, Telling(), paths["around"], paths["notes"], per_minute=1e6).first()
+    want = "|<reference>\nnote\n</reference>\n\n<context>\nbefore\n</context>||one teh two"
+    assert row.output == want and (tmp_path / "out" / "book.revised.md").read_text() == want
+    row = revise.revise_file(spark, paths["notes"], out, Telling(), per_minute=1e6).first()
+    assert row.output is None and row.error == "empty answer" and not (tmp_path / "out" / "notes.revised.md").exists()
+    (tmp_path / "prompt.txt").write_text(" Do it.\n")
+    assert revise.load_prompt(str(tmp_path / "prompt.txt")) == "Do it." and revise.load_prompt() == revise.PROMPT
+
+
+def test_diff_files(spark, tmp_path):
+    pages = spark.createDataFrame([("x/a.b.md", "<p>1"), ("plain", "<p>2")], "path string, html string")
+    diff.write_diff_files(pages, f"file:{tmp_path}/pages")
+    assert {p.name: p.read_text() for p in (tmp_path / "pages").iterdir()} == {"a.b_diff.html": "<p>1", "plain_diff.html": "<p>2"}
+
+
 def test_resume(spark, tmp_path):
     segs, path = spark.createDataFrame(SEGMENTS, FIELDS), str(tmp_path / "results")
     options = {"per_minute": 1e6, "max_concurrent": 1, "retry_wait": lambda k: 0}
