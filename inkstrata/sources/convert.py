@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,26 @@ BLOCKS = frozenset("p div article section main header footer aside nav figure fi
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "del": "~~", "s": "~~"}
 
 
+NOTES = frozenset("section aside div".split())
+
+
+def _is_notes(attrs: dict[str, str | None]) -> bool:
+    words = f"{attrs.get('class') or ''} {attrs.get('role') or ''}".split()
+    return not {"footnotes", "doc-endnotes"}.isdisjoint(words)
+
+
+def _note(name: str) -> str:
+    """A footnote's key from its name: fn1, fn:1 and the like are 1."""
+    return re.sub(r"^(?:user-content-)?fn[:-]?(?=.)", "", name)
+
+
+def contents_list(headings: list[tuple[int, str]]) -> str:
+    """A table of contents: one bullet a heading, four blanks for each level below the highest."""
+    top = min(level for level, _ in headings)
+    anchor = lambda text: re.sub(r"[^\w-]", "", re.sub(r"\s+", "-", text.strip().lower()))
+    return "\n".join(f"{'    ' * (level - top)}- [{text}](#{anchor(text)})" for level, text in headings)
+
+
 class _Markdown(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -29,6 +49,10 @@ class _Markdown(HTMLParser):
         self.rows: list[list[str]] | None = None
         self.cell = False  # a cell of the innermost table is open
         self.outer: list[tuple[list[list[str]], bool, list[str]]] = []  # rows, cell and line of the tables around it
+        self.headings: list[tuple[int, str]] = []
+        self.level = 0  # of an open heading
+        self.notes = 0  # open elements that hold footnotes, and those within them
+        self.mute = False  # within a link to or from a footnote
 
     def end_cell(self) -> None:
         """The text since the last cell; text that stands in no cell counts as one."""
@@ -57,6 +81,9 @@ class _Markdown(HTMLParser):
             if self.rows is not None:
                 self.line = [text.replace("\n", " ") + " "]
                 return
+            if self.level:
+                self.headings.append((self.level, text))
+                self.level = 0
             lead = "> " * self.quotes
             first, *rest = (self.prefix + text).split("\n")
             self.blocks.append("\n".join([lead + first, *(lead + r for r in rest)]))
@@ -69,9 +96,11 @@ class _Markdown(HTMLParser):
             pass
         elif tag in HEADINGS:
             self.end_block()
-            self.prefix = "#" * HEADINGS[tag] + " "
+            self.prefix, self.level = "#" * HEADINGS[tag] + " ", HEADINGS[tag]
         elif tag in BLOCKS:
             self.end_block()
+            if tag in NOTES and (self.notes or _is_notes(dict(attrs))):
+                self.notes += 1
         elif tag in ("ul", "ol"):
             self.end_block()
             self.lists.append([tag == "ol", 0])
@@ -80,6 +109,10 @@ class _Markdown(HTMLParser):
             if not self.lists:
                 self.lists.append([False, 0])
             self.lists[-1][1] += 1
+            name = dict(attrs).get("id") or ""
+            if self.notes and name:
+                self.prefix = f"[^{_note(name)}]: "
+                return
             self.prefix = "    " * (len(self.lists) - 1) + (f"{self.lists[-1][1]}. " if self.lists[-1][0] else "- ")
         elif tag == "blockquote":
             self.end_block()
@@ -95,8 +128,16 @@ class _Markdown(HTMLParser):
         elif tag in MARKS:
             self.line.append(MARKS[tag])
         elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
-            self.line.append("[")
+            found = dict(attrs)
+            href, words = found.get("href") or "", f"{found.get('class') or ''} {found.get('role') or ''}".split()
+            if href.startswith("#") and not {"footnote-ref", "doc-noteref"}.isdisjoint(words):
+                self.line.append(f"[^{_note(href[1:])}]")
+                self.mute = True
+            elif not {"footnote-back", "doc-backlink"}.isdisjoint(words):
+                self.mute = True
+            else:
+                self.links.append(href)
+                self.line.append("[")
         elif tag == "img":
             found = dict(attrs)
             self.line.append(f"![{found.get('alt') or ''}]({found.get('src') or ''})")
@@ -121,7 +162,9 @@ class _Markdown(HTMLParser):
             pass
         elif tag in HEADINGS or tag in BLOCKS or tag == "li":
             self.end_block()
-            self.prefix = ""
+            self.prefix, self.level = "", 0
+            if tag in NOTES and self.notes:
+                self.notes -= 1
         elif tag in ("ul", "ol"):
             self.end_block()
             self.prefix = ""
@@ -136,6 +179,8 @@ class _Markdown(HTMLParser):
             self.line, self.raw = [], False
         elif tag in MARKS:
             self.line.append(MARKS[tag])
+        elif tag == "a" and self.mute:
+            self.mute = False
         elif tag == "a" and self.links:
             self.line.append(f"]({self.links.pop()})")
         elif tag in ("td", "th", "tr") and self.rows is not None:
@@ -144,12 +189,15 @@ class _Markdown(HTMLParser):
             self.end_table()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.mute:
             self.line.append(data if self.raw else re.sub(r"\s+", " ", data))
 
 
-def to_markdown(page: str | None) -> str | None:
-    """Headings, paragraphs, lists, quotes, tables, code, links, images and emphasis; head, script and style are left out."""
+def to_markdown(page: str | None, contents: bool = False) -> str | None:
+    """Headings, paragraphs, lists, quotes, tables, code, links, images, emphasis and footnotes; head, script and style are left out.
+
+    With contents, a table of contents made of the headings comes first.
+    """
     if page is None:
         return None
     parser = _Markdown()
@@ -158,12 +206,16 @@ def to_markdown(page: str | None) -> str | None:
     while parser.rows is not None:
         parser.end_table()
     parser.end_block()
-    return "\n\n".join(parser.blocks)
+    blocks = [contents_list(parser.headings)] if contents and parser.headings else []
+    return "\n\n".join(blocks + parser.blocks)
+
 
+def html_to_markdown(html: Column | str, contents: bool = False) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: to_markdown(page, contents))
 
-@F.pandas_udf(T.StringType())
-def html_to_markdown(html: pd.Series) -> pd.Series:
-    return html.map(to_markdown)
+    return run(html)
 
 
 def convert_files(spark: SparkSession, paths: str | list[str], converter: Callable[[bytes], str]) -> DataFrame:

@@ -220,6 +220,15 @@ def test_markdown(spark):
     assert convert.to_markdown(None) is None and convert.to_markdown("") == ""
 
 
+def test_notes_and_contents():
+    page = """<h1>One</h1><p>a<a href="#fn1" class="footnote-ref" role="doc-noteref"><sup>1</sup></a> b<a href="#fn:x" role="doc-noteref">2</a></p><h3>Two <i>three</i></h3>
+      <section class="footnotes"><hr><ol><li id="fn1"><p>first <a href="#r" class="footnote-back">^</a></p></li><li id="fn:x"><div>second</div></li></ol></section><ul><li id="q">z</li></ul>"""
+    body = "# One\n\na[^1] b[^x]\n\n### Two *three*\n\n---\n\n[^1]: first\n\n[^x]: second\n\n- z"
+    assert convert.to_markdown(page) == body
+    assert convert.to_markdown(page, contents=True) == "- [One](#one)\n        - [Two *three*](#two-three)\n\n" + body
+    assert convert.to_markdown("<p>x", contents=True) == "x"
+
+
 def test_tables():
     md = convert.to_markdown
     assert md("<table><tr><td>a<td>b<tr><td>c<td>d</table>e") == "| a | b |\n|---|---|\n| c | d |\n\ne"
