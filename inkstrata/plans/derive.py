@@ -13,13 +13,16 @@ HAN = "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丞丢两
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than the session has cores is spread over them, as a file may be a single row group, which one task reads."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if len(found.inputFiles()) < cores else found
 
 
 def marked(text: Column) -> Column:
-    """Lines 0, 10, ... become headings of level 1, lines 5, 15, ... of level 2, lines 2 and 3 of each seven list items; a blank line follows each odd line."""
+    """Lines 0, 10, ... become headings of level 1, lines 5, 15, ... of level 2, lines 2 and 3 of each seven list items and line 4 a footnote; a blank line follows each odd line."""
     line = lambda x, p: F.concat(
-        F.when(p % 10 == 0, "# ").when(p % 5 == 0, "## ").when((p % 7).isin(2, 3), F.concat(p.cast("string"), F.lit(". "))).otherwise(""),
+        F.when(p % 10 == 0, "# ").when(p % 5 == 0, "## ").when((p % 7).isin(2, 3), F.concat(p.cast("string"), F.lit(". "))).when(p % 7 == 4, "  [^q7]:").otherwise(""),
         x,
         F.when(p % 2 == 1, "\n").otherwise(""),
     )
@@ -55,7 +58,7 @@ def results(segments: DataFrame) -> DataFrame:
 
 
 _MARKED = """array_to_string(list_transform(range(len(ls)), lambda p: CASE WHEN p % 10 = 0 THEN '# ' WHEN p % 5 = 0 THEN '## '
-  WHEN p % 7 IN (2, 3) THEN p || '. ' ELSE '' END || ls[p + 1] || CASE WHEN p % 2 = 1 THEN chr(10) ELSE '' END), chr(10))"""
+  WHEN p % 7 IN (2, 3) THEN p || '. ' WHEN p % 7 = 4 THEN '  [^q7]:' ELSE '' END || ls[p + 1] || CASE WHEN p % 2 = 1 THEN chr(10) ELSE '' END), chr(10))"""
 SQL_MARKDOWN = f"md AS (SELECT doc_id, {_MARKED} AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
 SQL_HAN = f"han AS (SELECT doc_id, translate(text, '{LATIN}', '{HAN}') AS text FROM documents)"
 SQL_HAN_MARKDOWN = SQL_HAN + f", hmd AS (SELECT doc_id, {_MARKED} AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM han))"

@@ -11,6 +11,7 @@ from inkstrata.functions import text as X
 from inkstrata.operators import clean, diff, match, report, revise, split
 from inkstrata.plans import derive as D
 from inkstrata.sources import convert, files
+from inkstrata.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def _digest(keys: str, text: str = "text") -> str:
     return f"{keys}, length({text}) AS n, md5({text}) AS digest"
 
 
-# --- splitting ---------------------------------------------------------------------------------------------------------
+# --- splitting
 
 SQL_CONTEXT = D.SQL_MARKDOWN + ", " + D.sql_sections("md", "sec", [1, 2]) + ", " + D.sql_cut("sec", "cut", 200, "doc_id, sec_no")
 SQL_CONTEXT += """, seg AS (
@@ -101,7 +102,7 @@ def split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.preset(D.markdown(spark, sf_dir), "title_length_merge").select(*digest(F.col("target"), "doc_id", "seg_no"))
 
 
-# --- cleaning ----------------------------------------------------------------------------------------------------------
+# --- cleaning
 
 
 @query(f"SELECT {_digest('doc_id', x := "replace(text, '. ', '.    ')")} FROM documents")
@@ -141,8 +142,9 @@ j AS (SELECT ln.doc_id, p, CASE WHEN level IS NULL THEN line ELSE repeat('#', le
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM j GROUP BY doc_id)
 SELECT {_digest('doc_id')} FROM t""")
 def mark_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = clean.explode_lines(D.han_markdown(spark, sf_dir))
-    return clean.join_lines(clean.mark_titles(lines, clean.parse_toc(D.contents(spark, sf_dir)))).select(*digest(F.col("text"), "doc_id"))
+    levels = clean.toc_levels(clean.parse_toc(D.contents(spark, sf_dir)))
+    found = D.han_markdown(spark, sf_dir).join(levels, "doc_id", "left")
+    return found.select("doc_id", clean.mark_titles_in(F.col("text"), F.col("levels")).alias("text")).select(*digest(F.col("text"), "doc_id"))
 
 
 @query(f"""WITH {SQL_TITLED}
@@ -152,24 +154,33 @@ def missing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.missing_titles(clean.explode_lines(D.han_markdown(spark, sf_dir)), clean.parse_toc(D.contents(spark, sf_dir)))
 
 
-@query(f"""WITH {D.SQL_MARKDOWN},
-l AS (SELECT doc_id, p, ls[p + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM md), unnest(range(len(ls))) AS u(p)),
-k AS (SELECT *, CASE WHEN trim(line) = '' THEN 0 WHEN regexp_matches(line, '^\\s*\\d+\\.\\s+.+$') THEN 1 ELSE 3 END AS kind FROM l),
-r AS (SELECT *, count(*) FILTER (kind = 3) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM k),
-i AS (SELECT *, count(*) FILTER (kind = 1) OVER (PARTITION BY doc_id, run ORDER BY p) - 1 AS i FROM r),
-n AS (SELECT doc_id, p, CASE WHEN kind = 1 THEN '[^' || CASE WHEN i < 26 THEN chr(CAST(97 + i AS INTEGER)) ELSE CAST(i - 25 AS VARCHAR) END || ']:'
-        || regexp_extract(line, '^\\s*\\d+\\.(\\s+.+)$', 1) || chr(10) ELSE line END AS line FROM i),
-t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM n GROUP BY doc_id)
-SELECT {_digest('doc_id')} FROM t""")
+def sql_notes(source: str, name: str) -> str:
+    """name(doc_id, text): the numbered footnotes of source(doc_id, text)."""
+    return f"""{name}_l AS (SELECT doc_id, p, ls[p + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {source}), unnest(range(len(ls))) AS u(p)),
+{name}_k AS (SELECT *, CASE WHEN trim(line) = '' THEN 0 WHEN regexp_matches(line, '^\\s*\\d+\\.\\s+.+$') THEN 1
+  WHEN regexp_matches(line, '^\\s*\\[\\^[a-zA-Z0-9]+\\]:.+$') THEN 2 ELSE 3 END AS kind FROM {name}_l),
+{name}_r AS (SELECT *, count(*) FILTER (kind = 3) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM {name}_k),
+{name}_i AS (SELECT *, count(*) FILTER (kind IN (1, 2)) OVER (PARTITION BY doc_id, run ORDER BY p) - 1 AS i FROM {name}_r),
+{name}_n AS (SELECT doc_id, p, CASE WHEN kind IN (1, 2) THEN CASE WHEN kind = 2 THEN regexp_extract(line, '^(\\s*)', 1) ELSE '' END
+        || '[^' || CASE WHEN i < 26 THEN chr(CAST(97 + i AS INTEGER)) ELSE CAST(i - 25 AS VARCHAR) END || ']:'
+        || regexp_extract(line, CASE WHEN kind = 1 THEN '^\\s*\\d+\\.(\\s+.+)$' ELSE '^\\s*\\[\\^[a-zA-Z0-9]+\\]:(.+)$' END, 1) || chr(10) ELSE line END AS line FROM {name}_i),
+{name} AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM {name}_n GROUP BY doc_id)"""
+
+
+@query(f"WITH {D.SQL_MARKDOWN}, {sql_notes('md', 't')} SELECT {_digest('doc_id')} FROM t")
 def number_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = clean.explode_lines(D.markdown(spark, sf_dir))
-    return clean.join_lines(clean.number_footnotes(lines)).select(*digest(F.col("text"), "doc_id"))
+    return D.markdown(spark, sf_dir).select("doc_id", clean.number_footnotes_in(F.col("text")).alias("text")).select(*digest(F.col("text"), "doc_id"))
 
 
-@query()
+BOTH_CASES = D.LATIN + D.LATIN.upper()
+
+
+@query(f"""WITH x AS (SELECT doc_id, '[^a]: one' || repeat(chr(10), 2) || '[^e]: two (pa)' || repeat(chr(10), 3)
+  || replace(translate(text, '{BOTH_CASES}', '{D.HAN * 2}'), '. ', '一[^a]一 (ea) [^e]（e） ') AS text FROM documents) SELECT {_digest('doc_id')} FROM x""")
 def letter_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document begins with the notes a and e."""
-    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a one\ne two (pa)\n\n"), "text").alias("text"))
+    """Each document begins with the notes a and e; its own letters become Han, and each sentence ends in letters that refer to notes or don't."""
+    body = F.replace(F.translate("text", BOTH_CASES, D.HAN * 2), F.lit(". "), F.lit("一a一 (ea) e（e） "))
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a one\ne two (pa)\n\n"), body).alias("text"))
     return docs.select("doc_id", clean.mark_letter_footnotes("text").alias("text")).select(*digest(F.col("text"), "doc_id"))
 
 
@@ -218,12 +229,26 @@ def join_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").select(*digest(clean.join_headings(apart), "doc_id"))
 
 
-@query()
+@query(f"""WITH {D.SQL_HAN_MARKDOWN}, {D.SQL_CONTENTS},
+given AS (SELECT doc_id, replace(text, '. ', '.    ab c ') AS text FROM hmd), {sql_notes('given', 'noted')},
+heads AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda s: ltrim(s, ' ' || chr(9))), chr(10)) AS text FROM noted),
+smooth AS (SELECT doc_id, replace(replace(regexp_replace(text, '\\n\\s*\\n', chr(10) || chr(10), 'g'), chr(10) || '前' || chr(10) || chr(10) || '言' || chr(10),
+  chr(10) || '前言' || chr(10)), chr(10) || '目' || chr(10) || chr(10) || '录' || chr(10), chr(10) || '目录' || chr(10)) AS text FROM heads),
+ln AS (SELECT doc_id, p, ls[p + 1] AS line, regexp_replace(ls[p + 1], '[\\s\\da-zA-Z\\[\\]{{}}.^]', '', 'g') AS key
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM smooth), unnest(range(len(ls))) AS u(p)),
+last AS (SELECT doc_id, name, arg_max(level, toc_no) AS level FROM toc WHERE name <> '' GROUP BY doc_id, name),
+j AS (SELECT ln.doc_id, p, CASE WHEN level IS NULL THEN line ELSE repeat('#', level) || ' ' || trim(line) END AS line
+  FROM ln LEFT JOIN last ON ln.doc_id = last.doc_id AND key = name),
+t AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY p), '(.{{30,}}[一-鿿])\\n{{1,2}}([一-鿿])', '\\1\\2', 'g') AS text FROM j GROUP BY doc_id)
+SELECT {_digest('doc_id')} FROM t""")
 def clean_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_books(D.han_markdown(spark, sf_dir), D.contents(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
+    """Each sentence of the books ends in an image and a style mark."""
+    marked = F.replace("text", F.lit(". "), F.lit(". ![image](a.png){width=1} [ab c]{.s7} "))
+    books = D.han_markdown(spark, sf_dir).select("doc_id", marked.alias("text"))
+    return clean.clean_books(books, D.contents(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- revision ----------------------------------------------------------------------------------------------------------
+# --- revision
 
 SQL_RESULTS = SQL_CONTEXT + ", res AS (SELECT *, CASE WHEN seg_no % 4 <> 3 THEN replace(target, 'e', 'E') END AS output FROM seg)"
 
@@ -321,12 +346,16 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.results_json(_joined(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- fuzzy search and replacement --------------------------------------------------------------------------------------
+# --- fuzzy search and replacement
 
 
 def _replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.table(spark, sf_dir, "documents")
-    first, second = F.substring("text", 11, 24), F.substring("text", 41, 12)
+    """Two fragments of each text of 60 characters or more, from its beginning and from its middle, each with a character that the text doesn't have."""
+    docs = D.table(spark, sf_dir, "documents").where(F.length("text") >= 60)
+    half = (F.length("text") / 2).cast("int")
+    text = F.col("text")
+    first = F.concat(F.substr(text, F.lit(11), F.lit(12)), F.lit("≠"), F.substr(text, F.lit(24), F.lit(11)))
+    second = F.concat(F.substr(text, half + 1, F.lit(6)), F.lit("≠"), F.substr(text, half + 8, F.lit(5)))
     pairs = F.array(
         F.struct(F.lit(0).alias("pos"), first.alias("fragment"), F.concat(F.lit("{"), first, F.lit("}")).alias("modified")),
         F.struct(F.lit(1).alias("pos"), second.alias("fragment"), F.concat(F.lit("<"), second, F.lit(">")).alias("modified")),
@@ -334,29 +363,39 @@ def _replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.inline(pairs))
 
 
-SQL_PAIRS = """f AS (
-  SELECT doc_id, text, substring(text, 11, 24) AS f1, '{' || substring(text, 11, 24) || '}' AS m1, substring(text, 41, 12) AS f2, '<' || substring(text, 41, 12) || '>' AS m2 FROM documents),
-p AS (SELECT doc_id, text, 0 AS pos, f1 AS f, m1 AS m FROM f UNION ALL SELECT doc_id, text, 1, f2, m2 FROM f)"""
+# The best window has the fragment's other characters in a row, or with one between the two parts.
+SQL_PAIRS = r"""f AS (
+  SELECT doc_id, text, 0 AS pos, substring(text, 11, 12) AS pre, substring(text, 24, 11) AS suf, 24 AS m, '{' AS o, '}' AS c FROM documents WHERE length(text) >= 60
+  UNION ALL
+  SELECT doc_id, text, 1, substring(text, length(text) // 2 + 1, 6), substring(text, length(text) // 2 + 8, 5), 12, '<', '>' FROM documents WHERE length(text) >= 60),
+q AS (
+  SELECT *, strpos(text, pre || suf) - 1 AS tight, length(regexp_extract(text, '(?s)^(.*?)\Q' || pre || '\E.\Q' || suf || '\E', 1)) AS loose FROM f),
+p AS (
+  SELECT doc_id, text, pos, pre || '≠' || suf AS f, o || pre || '≠' || suf || c AS m, CASE WHEN tight >= 0 THEN tight ELSE loose END AS a,
+         CASE WHEN tight >= 0 THEN tight + m - 1 ELSE loose + m END AS e,
+         CASE WHEN tight >= 0 THEN 100 * (1 - 1.0 / (2 * m - 1)) ELSE 100 * (1 - 1.0 / m) END AS ratio FROM q)"""
 
 
 @query(f"""WITH {SQL_PAIRS}
-SELECT doc_id, pos, f AS fragment_text, m AS modified_text, nullif(f, '') AS real_text, CASE WHEN f <> '' THEN strpos(text, f) - 1 END AS start,
-       CASE WHEN f <> '' THEN strpos(text, f) - 1 + length(f) END AS end, CAST(CASE WHEN f <> '' THEN 100 ELSE 0 END AS DOUBLE) AS ratio FROM p""".replace("AS end", 'AS "end"'))
+SELECT doc_id, pos, f AS fragment_text, m AS modified_text, substring(text, a + 1, e - a) AS real_text, CAST(a AS BIGINT) AS start, CAST(e AS BIGINT) AS "end",
+       round(CAST(ratio AS DOUBLE), 3) AS ratio FROM p""")
 def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.find_matches(D.table(spark, sf_dir, "documents"), _replacements(spark, sf_dir))
     place = [F.col(f"match.location.{c}").cast("long").alias(c) for c in ("start", "end")]
-    return found.select("doc_id", "pos", "match.fragment_text", "match.modified_text", "match.real_text", *place, "match.ratio")
+    return found.select("doc_id", "pos", "match.fragment_text", "match.modified_text", "match.real_text", *place, F.round("match.ratio", 3).alias("ratio"))
 
 
 @query(f"""WITH {SQL_PAIRS},
-r AS (SELECT doc_id, CASE WHEN f1 = '' THEN text WHEN f2 = '' THEN replace(text, f1, m1)
-  WHEN strpos(text, f2) > strpos(text, f1) THEN replace(replace(text, f2, m2), f1, m1) ELSE replace(replace(text, f1, m1), f2, m2) END AS text FROM f)
+b AS (SELECT x.doc_id, x.a AS a1, y.a AS a2, x.m AS m1, y.m AS m2, substring(x.text, x.a + 1, x.e - x.a) AS r1, substring(y.text, y.a + 1, y.e - y.a) AS r2
+  FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.pos = 0 AND y.pos = 1),
+r AS (SELECT d.doc_id, CASE WHEN a1 IS NULL THEN text WHEN a2 > a1 THEN replace(replace(text, r2, m2), r1, m1) ELSE replace(replace(text, r1, m1), r2, m2) END AS text
+  FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id)
 SELECT {_digest('doc_id')} FROM r""")
 def apply_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.apply_replacements(D.table(spark, sf_dir, "documents"), _replacements(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- comparison --------------------------------------------------------------------------------------------------------
+# --- comparison
 
 
 def _after(docs: DataFrame) -> DataFrame:
@@ -395,29 +434,93 @@ def tidy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.tidy_lines(clean.explode_lines(spread)).select("doc_id", "line_no", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {D.SQL_MARKDOWN}, {SQL_AFTER} SELECT doc_id, md5(md.text) AS before, md5(af.text) AS after FROM md JOIN af USING (doc_id)")
+@query(f"""WITH {D.SQL_MARKDOWN}, k AS (SELECT doc_id, text, (length(text) - length(replace(text, '. ', ''))) // 2 AS k FROM md)
+SELECT doc_id, md5(text) AS before, md5(replace(text, '. ', '† ')) AS after, length(text) - k AS equal_chars, CAST(k AS BIGINT) AS deleted, CAST(k AS BIGINT) AS inserted FROM k""")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is equal or deleted makes the text before, what is equal or inserted the text after."""
+    """The stop of each sentence becomes a sign that no text has: all else is equal, and the parts make both texts."""
     docs = D.markdown(spark, sf_dir)
-    both = docs.join(_after(docs).withColumnRenamed("text", "after"), "doc_id").select("doc_id", diff.word_diff(F.col("text"), F.col("after")).alias("d"))
-    made = lambda op: F.md5(F.array_join(F.transform(F.filter("d", lambda p: p["op"].isin("equal", op)), lambda p: p["value"]), "").cast("binary"))
-    return both.select("doc_id", made("delete").alias("before"), made("insert").alias("after"))
+    after = F.replace("text", F.lit(". "), F.lit("† "))
+    both = docs.select("doc_id", diff.word_diff(F.col("text"), after).alias("d"))
+    value = lambda *ops: F.array_join(F.transform(F.filter("d", lambda p: p["op"].isin(*ops)), lambda p: p["value"]), "")
+    made = lambda op: F.md5(value("equal", op).cast("binary"))
+    size = lambda op: F.length(value(op)).cast("long")
+    return both.select("doc_id", made("delete").alias("before"), made("insert").alias("after"), size("equal").alias("equal_chars"), size("delete").alias("deleted"), size("insert").alias("inserted"))
 
 
 @query(f"""WITH {D.SQL_MARKDOWN}, {D.sql_lines('md', 'l')},
 t AS (SELECT doc_id, p, rtrim(line, ' ') AS line, lag(rtrim(line, ' ')) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM l),
-k AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM t WHERE line <> '' OR coalesce(before, '') <> '' GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS lines_a, coalesce(n, 0) AS lines_b FROM md LEFT JOIN k USING (doc_id)""")
+k AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (line <> '' AND p % 23 = 4) AS BIGINT) AS c FROM t WHERE line <> '' OR coalesce(before, '') <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS lines_a, coalesce(n, 0) AS lines_b, coalesce(n - c, 0) AS equal_lines, coalesce(c, 0) AS replaced FROM md LEFT JOIN k USING (doc_id)""")
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opcodes cover all lines of both texts; the later text has the same lines, some of them longer."""
+    """The later text has the same lines, some of them longer: these are replaced, the others equal."""
     docs = D.markdown(spark, sf_dir)
-    longer = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, p: F.when((p % 23 == 4) & (x != ""), F.concat(x, F.lit(" more"))).otherwise(x)), "\n").alias("after"))
-    found = docs.join(longer, "doc_id").select("doc_id", diff.line_diff(F.col("text"), F.col("after"))["ops"].alias("ops"))
-    total = lambda side: F.aggregate("ops", F.lit(0).cast("long"), lambda n, o: n + o[f"{side}_hi"] - o[f"{side}_lo"])
-    return found.select("doc_id", total("a").alias("lines_a"), total("b").alias("lines_b"))
+    longer = F.array_join(F.transform(F.split("text", "\n"), lambda x, p: F.when((p % 23 == 4) & (X.rstrip(x) != ""), F.concat(x, F.lit(" more"))).otherwise(x)), "\n")
+    found = docs.select("doc_id", diff.line_diff(F.col("text"), longer)["ops"].alias("ops"))
+    total = lambda side, *tags: F.aggregate(F.filter("ops", lambda o: o["tag"].isin(*tags)), F.lit(0).cast("long"), lambda n, o: n + o[f"{side}_hi"] - o[f"{side}_lo"])
+    every = ("equal", "replace", "delete", "insert")
+    return found.select("doc_id", total("a", *every).alias("lines_a"), total("b", *every).alias("lines_b"), total("a", "equal").alias("equal_lines"), total("a", "replace").alias("replaced"))
+
+
+# --- files
+
+SQL_ESCAPED = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+PAGE_HEAD, _, PAGE_REST = diff.WORD_PAGE.partition("@TITLE@")
+PAGE_MIDDLE, _, PAGE_TAIL = PAGE_REST.partition("@BODY@")
 
 
-# --- other -------------------------------------------------------------------------------------------------------------
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"SELECT {_digest('CAST(doc_id AS VARCHAR) AS doc_id')} FROM documents")
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a file each, with other line ends, and read again."""
+    folder = new_folder(spark, "documents")
+    files.write_documents(D.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("text")), folder)
+    return files.read_documents(spark, folder).select(*digest(F.col("text"), "doc_id"))
+
+
+@query(f"WITH RECURSIVE {SQL_CONTEXT} SELECT {_digest('CAST(doc_id AS VARCHAR) AS doc_id, CAST(seg_no AS INTEGER) AS seg_no', 'target')}, md5(context) AS context_digest, CASE WHEN seg_no % 3 = 0 THEN 'note ' || seg_no END AS reference FROM seg")
+def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments written as a JSON file a document and read again."""
+    folder = new_folder(spark, "segments")
+    files.write_documents(files.segments_json(_segments(spark, sf_dir)), folder, ".json")
+    found = files.read_segments(spark, folder)
+    return found.select(*digest(F.col("target"), "doc_id", "seg_no"), F.md5(F.col("context").cast("binary")).alias("context_digest"), "reference")
+
+
+@query(f"WITH RECURSIVE {SQL_RESULTS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(seg_no AS INTEGER) AS seg_no, md5(output) AS digest FROM res")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as a JSON file a document, read again and held against the number of segments."""
+    folder = new_folder(spark, "results")
+    joined = _joined(spark, sf_dir)
+    files.write_documents(files.results_json(joined), folder, ".json")
+    segments = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no")
+    return files.checked_results(segments, files.read_results(spark, folder)).select("doc_id", "seg_no", F.md5(F.col("output").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH RECURSIVE {SQL_RESULTS} SELECT 'r1' AS run_id, CASE WHEN output IS NULL THEN 'failed' ELSE 'done' END AS event, doc_id, CAST(seg_no AS INTEGER) AS seg_no,
+       CASE WHEN output IS NULL THEN 'busy' ELSE CAST(length(output) AS VARCHAR) END AS detail FROM res""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a run appended to its log and read again."""
+    folder = new_folder(spark, "log")
+    results = D.results(_segments(spark, sf_dir))
+    results = results.withColumn("error", F.when(F.col("output").isNull(), "busy"))
+    files.append_events(files.result_events(results, "r1"), folder)
+    return spark.read.parquet(folder).select("run_id", "event", "doc_id", "seg_no", "detail")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5({_sql(PAGE_HEAD)} || doc_id || {_sql(PAGE_MIDDLE)}
+  || CASE WHEN text = '' THEN '' ELSE '<span class="equal">' || {SQL_ESCAPED} || '</span>' END || {_sql(PAGE_TAIL)}) AS digest FROM documents""")
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of texts compared with themselves, written under the names that belong to diffs and read again."""
+    folder = new_folder(spark, "diffs")
+    page = diff.word_page(diff.word_diff(F.col("text"), F.col("text")), F.col("doc_id").cast("string"))
+    diff.write_diff_files(D.table(spark, sf_dir, "documents").select(F.concat(F.lit("books/"), "doc_id", F.lit(".md")).alias("path"), page.alias("html")), folder)
+    return files.read_documents(spark, folder, "_diff.html").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# --- other
 
 
 @query()
@@ -425,6 +528,23 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", convert.html_to_markdown("html").alias("text"))
 
 
+SQL_HTML_LINE = "regexp_replace(trim(x), ' +', ' ', 'g')"
+HTML_END = """<ul><li>one<li><b>two</b></ul><table><tr><th>a<th>b<tr><td>c</table><p>see<a href="#fn1" class="footnote-ref"><sup>1</sup></a></p>
+<section class="footnotes"><ol><li id="fn1">note</li></ol></section><script>no</script>"""
+MARKDOWN_END = "- one\n\n- **two**\n\n| a | b |\n|---|---|\n| c |  |\n\nsee[^1]\n\n[^1]: note"
+
+
+@query(f"""WITH l AS (SELECT doc_id, lang, list_filter(list_transform(string_split(text, chr(10)), lambda x: {SQL_HTML_LINE}), lambda x: x <> '') AS ls FROM documents),
+t AS (SELECT doc_id, '- [' || lang || '](#' || lang || ')' || repeat(chr(10), 2) || '## ' || lang || repeat(chr(10), 2)
+  || array_to_string(list_transform(ls, lambda x: x || repeat(chr(10), 2)), '') || {_sql(MARKDOWN_END)} AS text FROM l) SELECT {_digest('doc_id')} FROM t""")
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put into HTML and converted back, with a table of contents."""
+    lines = F.transform(F.split(diff.escape(F.col("text")), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    page = F.concat(F.lit("<html><head><title>t</title></head><body><h2>"), "lang", F.lit("</h2>"), F.array_join(lines, ""), F.lit(HTML_END))
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
+    return docs.select("doc_id", convert.html_to_markdown("html", contents=True).alias("text")).select(*digest(F.col("text"), "doc_id"))
+
+
 @query(f"WITH {D.SQL_HAN} SELECT doc_id, CAST(round(0.6 * h + 0.3 * (length(text) - h), 1) AS DOUBLE) AS tokens FROM (SELECT *, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS h FROM han)")
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.token_totals(D.han(spark, sf_dir))
