@@ -36,7 +36,7 @@ def _digest(keys: str, text: str = "text") -> str:
     return f"{keys}, length({text}) AS n, md5({text}) AS digest"
 
 
-# --- splitting
+# splitting
 
 SQL_CONTEXT = D.SQL_MARKDOWN + ", " + D.sql_sections("md", "sec", [1, 2]) + ", " + D.sql_cut("sec", "cut", 200, "doc_id, sec_no")
 SQL_CONTEXT += """, seg AS (
@@ -102,7 +102,7 @@ def split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.preset(D.markdown(spark, sf_dir), "title_length_merge").select(*digest(F.col("target"), "doc_id", "seg_no"))
 
 
-# --- cleaning
+# cleaning
 
 
 @query(f"SELECT {_digest('doc_id', x := "replace(text, '. ', '.    ')")} FROM documents")
@@ -248,7 +248,7 @@ def clean_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_books(books, D.contents(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- revision
+# revision
 
 SQL_RESULTS = SQL_CONTEXT + ", res AS (SELECT *, CASE WHEN seg_no % 4 <> 3 THEN replace(target, 'e', 'E') END AS output FROM seg)"
 
@@ -346,7 +346,7 @@ def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.results_json(_joined(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- fuzzy search and replacement
+# fuzzy search and replacement
 
 
 def _replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +395,7 @@ def apply_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.apply_replacements(D.table(spark, sf_dir, "documents"), _replacements(spark, sf_dir)).select(*digest(F.col("text"), "doc_id"))
 
 
-# --- comparison
+# comparison
 
 
 def _after(docs: DataFrame) -> DataFrame:
@@ -461,7 +461,7 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", total("a", *every).alias("lines_a"), total("b", *every).alias("lines_b"), total("a", "equal").alias("equal_lines"), total("a", "replace").alias("replaced"))
 
 
-# --- files
+# files
 
 SQL_ESCAPED = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 PAGE_HEAD, _, PAGE_REST = diff.WORD_PAGE.partition("@TITLE@")
@@ -520,7 +520,7 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_documents(spark, folder, "_diff.html").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-# --- other
+# other
 
 
 @query()

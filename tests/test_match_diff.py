@@ -30,23 +30,26 @@ def test_best_window():
         f = "".join(random.choice("abcde字") for _ in range(random.randint(0, 9)))
         assert match.best_window(t, f) == best_spec(t, f)
     t = "".join(random.choice("abcd") for _ in range(110))
-    for f in (t[20:84], t[20:85], t[10:90] + "xy"):
+    for f in (t[20:84], t[20:85], t[10:90] + "xy", "x".join(t[k : k + 9] for k in range(0, 90, 9)), t[5:30] + "y" + t[31:105]):
         assert match.best_window(t, f) == best_spec(t, f)
 
 
-TEXT = "\n    输出修改后的文本，用文本原有的格式，原文的空行、原文换行、分段等格式保持不变，不要给出任何额外的说明。\n    "
-PAIRS = [(0, "输出修改后的文字，", "输出修改好的文本,"), (1, "原文空行", "原文的位置"), (2, "原文", "啤酒")]
+TEXT = "\n    春天来了，园丁在花圃里种下玫瑰和百合，花圃的四周围着矮矮的篱笆，雨后的花圃显得格外清新。\n    "
+PAIRS = [(0, "种下玫瑰或百合，", "种下牡丹,"), (1, "花圃四周", "花圃的位置"), (2, "花圃", "苗床")]
 
 
-def test_demo(spark):
-    docs = spark.createDataFrame([("a", TEXT), ("b", None), ("c", "")], "doc_id string, text string")
+def test_garden(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", TEXT), ("b", None), ("c", ""), ("c", "")], "doc_id string, text string")
     pairs = spark.createDataFrame(PAIRS, "pos int, fragment string, modified string")
-    got = {r.pos: r.match for r in match.find_matches(docs, pairs).where("doc_id = 'a'").collect()}
-    assert [(got[k].real_text, tuple(got[k].location), round(got[k].ratio, 3)) for k in range(3)] == [
-        ("输出修改后的文本，", (5, 14), 88.889), ("原文的空行", (23, 28), 88.889), ("原文", (23, 25), 100.0)]
-    out = {r.doc_id: r.text for r in match.apply_replacements(docs, pairs).collect()}
-    assert out["a"].strip() == "输出修改好的文本,用文本原有的格式，啤酒的位置、啤酒换行、分段等格式保持不变，不要给出任何额外的说明。"
-    assert out["b"] is None and out["c"] == ""
+    for listed in (1000, 1):  # one list, or a block for each fragment
+        monkeypatch.setattr(match, "LISTED", listed)
+        got = {r.pos: r.match for r in match.find_matches(docs, pairs).where("doc_id = 'a'").collect()}
+        found = [(got[k].real_text, tuple(got[k].location), round(got[k].ratio, 3)) for k in range(3)]
+        assert found == [("种下玫瑰和百合，", (16, 24), 87.5), ("花圃的四周", (24, 29), 88.889), ("花圃", (13, 15), 100.0)]
+        assert [(*got[k].location, got[k].ratio) for k in range(3)] == [best_spec(TEXT, f) for _, f, _ in PAIRS]
+        out = sorted((r.doc_id, r.text) for r in match.apply_replacements(docs, pairs).collect())
+        assert [d for d, _ in out] == ["a", "b", "c", "c"] and out[1][1] is None and out[2][1] == out[3][1] == ""
+        assert out[0][1].strip() == "春天来了，园丁在苗床里种下牡丹,苗床的位置围着矮矮的篱笆，雨后的苗床显得格外清新。"
 
 
 def test_replace_options(spark):
