@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstrata.plans.derive import table
+from inkstrata.sources.shared import delete_folder, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, the folder that all executors share.
-
-    Only where that is unset and the master is local, as in tests, a temporary
-    folder takes its place.
-    """
-    context = spark.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(folder)
-        return folder
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="inkstrata-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of whatever file system the path names."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["bounded", "cut_lineage", "delete_folder", "free_name", "integer_id", "shared_folder", "table", "utf8", "whole_buckets"]
 
 
 def integer_id(df: DataFrame, column: str = "doc_id") -> Column:

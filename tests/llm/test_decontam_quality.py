@@ -9,7 +9,7 @@ import corpus_pipeline
 from inkstrata.llm import decontam, quality
 from tests.llm.fixtures import documents, odd_rows, prose, tuples, word
 
-# --- benchmark decontamination -----------------------------------------------------------------------------------------
+# benchmark decontamination
 
 
 def bm25_spec(items):
@@ -140,7 +140,7 @@ def test_contaminated_in_odd_tables(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs, bench.where("item_id = 5")).count() == 0
 
 
-# --- quality classifier ------------------------------------------------------------------------------------------------
+# quality classifier
 
 STEMS = ["vorkap", "milzor"]
 
@@ -298,7 +298,7 @@ def test_classifier_in_odd_tables(spark):
     assert quality.classify(docs.limit(0), known).count() == 0 and quality.filter_documents(docs.limit(0), known).count() == 0
 
 
-# --- pipeline ----------------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def tables(spark, folder, rows, labels, items):

@@ -10,7 +10,7 @@ from inkstrata.llm.components import components
 from inkstrata.llm.words import normal, split_words
 from tests.llm.fixtures import documents, odd_rows, prose, tuples, word
 
-# --- line dedup --------------------------------------------------------------------------------------------------------
+# line dedup
 
 
 def runs_spec(rows, size=3):
@@ -128,7 +128,7 @@ def test_short_runs_of_many_words(spark):
         2: "s\nt", 3: "u\nv", 4: han, 5: "x", 6: rows[5][1], 7: rows[6][1], 9: "y"}
 
 
-# --- substring dedup ---------------------------------------------------------------------------------------------------
+# substring dedup
 
 
 def cuts_spec(raw: bytes):
@@ -223,7 +223,7 @@ def test_spans_in_odd_tables(spark):
     assert chunkdedup.repeated_spans(docs.limit(0)).count() == 0
 
 
-# --- near duplicates ---------------------------------------------------------------------------------------------------
+# near duplicates
 
 
 def near_rows(seed, n=120):
