@@ -8,6 +8,8 @@ of the text together, a step per character of the longest window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,7 @@ ARROW_PLACED = pa.struct(
     ]
 )
 LISTED = 1000  # replacements for all documents that are looked for in one call
+SENT = 32 << 20  # bytes of replacements that are sent to the tasks at once
 
 
 def common_lengths(text: str, fragment: str, longest: int) -> np.ndarray:
@@ -122,20 +125,28 @@ def matches_of(text: Column, wanted: Column, len_offset: int = 3) -> Column:
     return run(text, wanted)
 
 
+def _cuts(replacements: DataFrame) -> tuple[int, int]:
+    """How many blocks and passes a list for all documents takes."""
+    octets = F.sum(F.octet_length("fragment") + F.coalesce(F.octet_length("modified"), F.lit(0)))
+    n, octets = replacements.agg(F.count("*"), octets).first()
+    return max(1, -(-n // LISTED)), max(1, -(-(octets or 0) // SENT))
+
+
 def _searched(docs: DataFrame, replacements: DataFrame, len_offset: int, how: str) -> DataFrame:
     """(row, doc_id, text, m): the matches of each text in one array, or in several rows for a long list without a doc_id."""
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     row = F.struct(F.col("pos").cast("int").alias("pos"), "fragment", "modified")
+    searched = lambda pairs: pairs.select("row", "doc_id", "text", matches_of(F.col("text"), F.col("wanted"), len_offset).alias("m"))
     if "doc_id" in replacements.columns:
         wanted = replacements.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("wanted"))
-        pairs = docs.join(wanted, "doc_id", how)
-    else:
-        # One list for all documents, in blocks of LISTED at most: mostly one row, which is joined to every text.
-        blocks = max(1, -(-replacements.count() // LISTED))
-        block = F.pmod(F.xxhash64("pos", "fragment", "modified"), F.lit(blocks))
-        wanted = replacements.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("wanted")).drop("_block")
-        pairs = docs.join(wanted, F.lit(True), how)
-    return pairs.select("row", "doc_id", "text", matches_of(F.col("text"), F.col("wanted"), len_offset).alias("m"))
+        return searched(docs.join(wanted, "doc_id", how))
+    # One list for all documents, in blocks of about LISTED: mostly one row, which is sent to every task. What is sent at
+    # once is SENT bytes at most; a longer list takes several passes over the documents.
+    blocks, passes = _cuts(replacements)
+    block = F.pmod(F.xxhash64("pos", "fragment", "modified"), F.lit(max(blocks, passes)))
+    wanted = replacements.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(row)).alias("wanted"))
+    parts = [wanted.where(F.pmod("block", F.lit(passes)) == k).drop("block") for k in range(passes)]
+    return reduce(DataFrame.unionByName, (searched(docs.join(F.broadcast(part), F.lit(True), how)) for part in parts))
 
 
 def find_matches(docs: DataFrame, replacements: DataFrame, len_offset: int = 3) -> DataFrame:
@@ -177,9 +188,9 @@ def replace_matches(text: Column, matches: Column, threshold: float = 80, at_loc
 def apply_replacements(docs: DataFrame, replacements: DataFrame, threshold: float = 80, len_offset: int = 3) -> DataFrame:
     """(doc_id, text) with all replacements found and applied, in the order of the replacements' pos.
 
-    A list of more than LISTED replacements for all documents is found in blocks and gathered by document.
+    What is found for a text in several blocks or passes is gathered again.
     """
     found = _searched(docs, replacements, len_offset, "left")
-    if "doc_id" not in replacements.columns and replacements.count() > LISTED:
+    if "doc_id" not in replacements.columns and max(_cuts(replacements)) > 1:
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
     return found.select("doc_id", replace_matches(F.col("text"), F.transform("m", lambda x: x["match"]), threshold).alias("text"))

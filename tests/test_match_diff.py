@@ -41,8 +41,9 @@ PAIRS = [(0, "种下玫瑰或百合，", "种下牡丹,"), (1, "花圃四周", "
 def test_garden(spark, monkeypatch):
     docs = spark.createDataFrame([("a", TEXT), ("b", None), ("c", ""), ("c", "")], "doc_id string, text string")
     pairs = spark.createDataFrame(PAIRS, "pos int, fragment string, modified string")
-    for listed in (1000, 1):  # one list, or a block for each fragment
+    for listed, sent in ((1000, 1 << 20), (1, 1 << 20), (1000, 30), (1, 30)):  # one list, or blocks, or passes
         monkeypatch.setattr(match, "LISTED", listed)
+        monkeypatch.setattr(match, "SENT", sent)
         got = {r.pos: r.match for r in match.find_matches(docs, pairs).where("doc_id = 'a'").collect()}
         found = [(got[k].real_text, tuple(got[k].location), round(got[k].ratio, 3)) for k in range(3)]
         assert found == [("种下玫瑰和百合，", (16, 24), 87.5), ("花圃的四周", (24, 29), 88.889), ("花圃", (13, 15), 100.0)]
