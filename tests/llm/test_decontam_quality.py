@@ -321,13 +321,15 @@ def test_pipeline(spark, tmp_path):
     text[clean[2]] += "\n" + shared
     text[clean[4]] = text[clean[3]].replace(" ", "  ", 1) + " more"
     text[clean[5]] += "\n" + item
+    text[clean[6]] = prose(rng, 200)  # and a near copy that shares most of its lines
+    text[clean[7]] = text[clean[6]].replace("\n", "\nnew ", 1)
     rows = sorted(text.items())
     folder = tables(spark, tmp_path / "in", rows, labels, [(1, item)])
 
     # By brute force, from the classifier's verdicts on.
     kept = {r.doc_id for r in quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).where("keep").collect()}
     left = {d: t for d, t in rows if d in kept}
-    for d, a, b, *_ in runs_spec(list(left.items())):
+    for d, a, b, *_ in runs_spec(list(left.items()), groups=groups_spec(list(left.items()))[0]):
         left[d] = "\n".join(x for k, x in enumerate(left[d].split("\n")) if not a <= k <= b)
     gone = groups_spec(list(left.items()))[0]
     left = {d: t for d, t in left.items() if d not in gone}
@@ -338,7 +340,8 @@ def test_pipeline(spark, tmp_path):
     for r in out.collect():
         tokens[r.doc_id] += r.n_tokens
     assert tokens == Counter({d: len(t.split()) for d, t in left.items()})
-    assert {clean[0], clean[1], clean[2], clean[3]} <= set(tokens) and clean[4] not in tokens and clean[5] not in tokens
+    assert {clean[0], clean[1], clean[2], clean[3]} <= set(tokens) and not {clean[4], clean[5], clean[7]} & set(tokens)
+    assert tokens[clean[6]] == 200
     assert out.columns == ["doc_id", "piece", "start", "n_tokens", "bin_id", "slot"]
 
 

@@ -13,8 +13,9 @@ from tests.llm.fixtures import documents, odd_rows, prose, tuples, word
 # line dedup
 
 
-def runs_spec(rows, size=3):
-    """Later places of every run of `size` lines, merged where they touch."""
+def runs_spec(rows, size=3, groups=None):
+    """Later places of every run of `size` lines, merged where they touch; with groups (document: kept one) none whose first place is in a copy."""
+    group = lambda d: (groups or {}).get(d, d)
     lines = {}
     for doc, text in sorted(((d, t) for d, t in rows if d is not None and t is not None), key=lambda x: x[0]):
         lines[doc] = [(p, x.strip(" ")) for p, x in enumerate(text.split("\n")) if x.strip(" ")]
@@ -23,7 +24,7 @@ def runs_spec(rows, size=3):
         hit = []
         for s in range(len(ls) - size + 1):
             g = tuple(x for _, x in ls[s : s + size])
-            if first.setdefault(g, (doc, s)) != (doc, s):
+            if first.setdefault(g, (doc, s)) != (doc, s) and (not groups or doc == first[g][0] or group(doc) != group(first[g][0])):
                 hit.append((s, first[g]))
         while hit:
             k = 1
