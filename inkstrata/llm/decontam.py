@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstrata.llm.common import bounded, free_name, integer_id
+from inkstrata.llm.common import bounded, cut_lineage, free_name, integer_id
 from inkstrata.llm.words import normal, split_words
 
 K1, B = 1.2, 0.75
@@ -288,5 +288,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 def drop_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the documents that match an item; rows with a null doc_id stay."""
     key, text_key = free_name(docs, "_key"), free_name(docs, "_text_key")
-    names = found.select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).distinct()
+    names = cut_lineage(found.select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).distinct())
     return docs.join(names, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left_anti")

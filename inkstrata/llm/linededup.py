@@ -175,7 +175,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int |
 def delete_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs with the runs deleted from their texts, in the columns of docs."""
     spans, key, text_key = (free_name(docs, n) for n in ("_runs", "_key", "_text_key"))
-    cut = runs.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.collect_set(F.struct("start_line", "end_line")).alias(spans))
+    cut = cut_lineage(runs.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.collect_set(F.struct("start_line", "end_line")).alias(spans)))
     with_runs = docs.join(cut, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left")
     gone = F.flatten(F.transform(spans, lambda r: F.sequence(r["start_line"], r["end_line"])))
     left = let(
