@@ -247,11 +247,12 @@ def revise(segments: DataFrame, client: Client, per_minute: float = 15, max_conc
 
 def _called(asked: DataFrame, client: Client, per_minute: float, max_concurrent: int, attempts: int, retry_wait: Callable[[int], float]) -> DataFrame:
     """RESULT rows of (doc_id, seg_no, messages, key)."""
-    pace = per_minute / max_concurrent
+    pace, names = per_minute / max_concurrent, ["doc_id", "seg_no", "output", "error", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limit = Pace(pace)
         for batch in batches:
+            rows = []
             for row in batch.itertuples(index=False):
                 turns = [{"role": m["role"], "content": m["content"]} for m in row.messages]
 
@@ -260,8 +261,12 @@ def _called(asked: DataFrame, client: Client, per_minute: float, max_concurrent:
                     return client.revise(turns, key)
 
                 output, error = with_retries(call, attempts, retry_wait)
-                # One row at a time, so that a task that is stopped loses what it hasn't passed on only.
-                yield pd.DataFrame({"doc_id": [str(row.doc_id)], "seg_no": [row.seg_no], "output": [output], "error": [error], "at": [pd.Timestamp.now("UTC")]})
+                rows.append((str(row.doc_id), row.seg_no, output, error, pd.Timestamp.now("UTC")))
+                if len(rows) == 64:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     spread = asked.select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no", "messages", "key").repartition(max_concurrent)
     return spread.mapInPandas(run, RESULT)
