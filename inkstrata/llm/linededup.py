@@ -50,17 +50,13 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions.text import let
 from inkstrata.llm.common import cut_lineage, free_name, integer_id
+from inkstrata.llm.words import word_count
 
 MIN_LINES = 3
 #: What the pipeline asks of runs of fewer lines. The SQL of op4_line_dedup knows whole windows of MIN_LINES only.
 MIN_WORDS = 50
 
 
-def _words(x: Column) -> Column:
-    """Runs of non-blank characters; of scripts without spaces, each character."""
-    return F.regexp_count(x, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"))
-
-
 def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) -> DataFrame:
     """A row for each selected line: doc_id, text_key, k (lines of a window), fp, i (number of the line),
 
@@ -70,7 +66,7 @@ def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) ->
     lines = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.trim(x).alias("x"))), lambda t: t["x"] != ""
     )
-    words = (lambda x: F.lit(0)) if min_words is None else _words
+    words = (lambda x: F.lit(0).cast("long")) if min_words is None else word_count
     hashed = docs.where("doc_id is not null and text is not null").select(
         integer_id(docs),
         F.xxhash64("text").alias("text_key"),
@@ -85,7 +81,7 @@ def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) ->
         def counts(chosen: Column, i: Column, off: Column) -> Column:
             enough = F.lit(True)
             if k < size:
-                enough = F.aggregate(F.slice("n", i - off + 1, k), F.lit(0), lambda a, x: a + x) >= min_words
+                enough = F.aggregate(F.slice("n", i - off + 1, k), F.lit(0).cast("long"), lambda a, x: a + x) >= min_words
             return F.when(F.get(chosen, i - off) == i, enough).otherwise(False)
 
         seeds = let(
@@ -105,7 +101,8 @@ def selected_lines(docs: DataFrame, size: int, min_words: int | None = None) ->
         return F.filter(seeds, lambda x: F.size(x["offs"]) > 0) if k < size else seeds
 
     least_lines = size if min_words is None else 1
-    spread = hashed.where(F.size("l") >= least_lines).select("doc_id", "text_key", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+    # Without a condition on the number of lines: it would be pushed down, and all hashed twice.
+    spread = hashed.select("doc_id", "text_key", F.col("l.p").alias("p"), F.col("l.h").alias("h"), F.col("l.n").alias("n"))
     return spread.select("doc_id", "text_key", F.inline(F.concat(*(of(k) for k in range(least_lines, size + 1)))))
 
 

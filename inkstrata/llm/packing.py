@@ -31,22 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstrata.llm.common import cut_lineage, integer_id, whole_buckets
+from inkstrata.llm.words import word_count
 
 CAPACITY = 2048
 SHARD_ROWS = 16384
 TASKS = 10_000  # shards beyond that share tasks
-#: Thai, kana and Han: each character is a token.
-SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id long, slot long"
 
 
-def word_count(text: Column) -> Column:
-    """Number of runs of characters that aren't ASCII blanks; those of SINGLE count one by one. A null has 0."""
-    mixed = F.regexp_count(text, F.lit(rf"[{SINGLE}]|[^\s{SINGLE}]+"))
-    n = F.when(text.rlike(f"[{SINGLE}]"), mixed).otherwise(F.regexp_count(text, F.lit(r"\S+")))
-    return F.coalesce(n, F.lit(0)).cast("long")
-
-
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins of indices; sizes must be in decreasing order and at most capacity."""
     free: list[list[int]] = [[] for _ in range(capacity + 1)]

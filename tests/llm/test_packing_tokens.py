@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 from inkstrata.llm import packing, tokencount
+from inkstrata.llm.words import SINGLE
 from tests.llm.fixtures import documents, odd_rows, prose, tuples
 
 
@@ -112,7 +113,7 @@ def test_pack(spark):
     rng = random.Random(2)
     docs = documents(spark, odd_rows(rng) + [(100 + k, prose(rng, rng.randint(1, 300))) for k in range(150)])
     rows = packing.pack(docs, capacity=256, shard_rows=64).collect()
-    unit = re.compile(rf"[{packing.SINGLE}]|[^\s{packing.SINGLE}]+", re.A)
+    unit = re.compile(rf"[{SINGLE}]|[^\s{SINGLE}]+", re.A)
     want = Counter((r.doc_id, len(unit.findall(r.text or ""))) for r in docs.collect())
     pieces = Counter()
     fill = Counter()
