@@ -60,6 +60,14 @@ class ReplacingClient:
         return text
 
 
+@dataclass
+class EchoClient:
+    """Answers offline with all that a service would get after the instruction, in order."""
+
+    def revise(self, messages: list[dict[str, str]], key: str) -> str | None:
+        return "\n".join(m["content"] for m in messages[1:] if m["content"])
+
+
 def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=timeout) as answer:

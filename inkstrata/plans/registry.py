@@ -280,6 +280,18 @@ def revise_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("doc_id").cast("long").alias("doc_id"), "seg_no", F.md5(F.col("output").cast("binary")).alias("digest"), "error")
 
 
+@query("""WITH b AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '<reference>' || chr(10) || 'note ' || doc_id || chr(10) || '</reference>' ELSE '' END
+  || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '<context>' || chr(10) || lang || chr(10) || '</context>' ELSE '' END AS block FROM documents)
+SELECT doc_id, md5(block || chr(10) || text) AS digest, CAST(NULL AS VARCHAR) AS error FROM b""")
+def revise_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files, some with a reference, some with a context, sent to a client that answers with what it got."""
+    docs = D.table(spark, sf_dir, "documents")
+    reference = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("note "), "doc_id")).otherwise("")
+    triples = docs.select("doc_id", F.col("text").alias("target"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("context"), reference.alias("reference"))
+    done = revise.revise_triples(triples, revise.EchoClient(), per_minute=1e9, max_concurrent=8)
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("output").cast("binary")).alias("digest"), "error")
+
+
 @query(f"WITH RECURSIVE {SQL_RESULTS} SELECT doc_id, CAST(seg_no AS INTEGER) AS seg_no, md5(target) AS digest FROM res WHERE output IS NULL AND seg_no BETWEEN 1 AND 9")
 def pending_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _segments(spark, sf_dir)
