@@ -38,7 +38,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstrata.llm.common import bounded, cut_lineage, free_name, integer_id, whole_buckets
@@ -46,7 +46,8 @@ from inkstrata.llm.components import components
 from inkstrata.llm.words import normal, split_words
 
 BITS, SEGMENTS, RADIUS = 128, 7, 20
-SMALL = 64  # buckets of more classes are searched one by one
+SMALL = 256  # buckets of more classes are searched one by one
+PAIRS = 1 << 18  # pairs that are compared at a time
 CHUNK = 1 << 20  # rows of whole buckets that are compared together
 
 
@@ -134,20 +135,19 @@ def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius:
                 found.append(np.column_stack([np.full(len(reached), one), reached]))
         if found:
             _join(root, *np.concatenate(found).T)
-    small = np.repeat(sizes <= SMALL, sizes)
-    keys, nodes = keys[small], nodes[small]
-    live, step = np.arange(len(keys)), 0
-    while len(live):
-        step += 1
-        live = live[live + step < len(keys)]
-        live = live[keys[live] == keys[live + step]]
-        a, b = nodes[live], nodes[live + step]
-        new = np.flatnonzero(root[a] != root[b])  # connected pairs need no second look
-        a, b = a[new], b[new]
-        for at in range(0, len(a), 1 << 20):
-            u, v = a[at : at + (1 << 20)], b[at : at + (1 << 20)]
-            near = distances(fp[u], fp[v]) <= radius
-            _join(root, u[near], v[near])
+    words = [np.ascontiguousarray(fp[:, k]) for k in range(fp.shape[1])]
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():  # all buckets of a size together
+        first, second = np.triu_indices(size, 1)
+        begins = starts[sizes == size]
+        step = max(1, PAIRS // len(first))
+        for at in range(0, len(begins), step):
+            members = nodes[begins[at : at + step, None] + np.arange(size)]
+            apart = np.zeros((len(members), len(first)), np.uint16)
+            for word in words:
+                bits = word[members]
+                apart += np.bitwise_count(bits[:, first] ^ bits[:, second])
+            row, pair = np.nonzero(apart <= radius)
+            _join(root, members[row, first[pair]], members[row, second[pair]])
     return root
 
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGM
 
 
 def keep_one_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the documents that go; of rows that are equal in doc_id and text one stays, the first by the other columns.
+    """docs without the documents that go; of rows that are equal in doc_id and text one stays, that with the least hash of all columns.
 
     Rows with a null doc_id stay.
     """
@@ -203,6 +203,7 @@ def keep_one_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
     if shared.isEmpty():
         return left
     on = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(text_key))
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), "text")
-    again = left.join(shared, on, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return left.join(shared, on, "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    # One row a task of each, before they meet: a row may be repeated for a third of the table.
+    least = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    again = left.join(shared, on, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(text_key)).agg(F.min_by(F.struct(*docs.columns), least).alias(rank))
+    return left.join(shared, on, "left_anti").select(docs.columns).unionByName(again.select(f"{rank}.*"))
