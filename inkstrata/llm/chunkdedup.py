@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(integer_id(docs), F.xxhash64("text").alias("text_key"), "text")
     chunks = rows.mapInArrow(_chunks, CHUNKS)
     row = F.struct("doc_id", "text_key")
-    firsts = cut_lineage(chunks.groupBy("d1", "d2").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first < last").drop("last"))
+    firsts = cut_lineage(chunks.groupBy("d1", "d2").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     repeats = chunks.join(firsts, ["d1", "d2"], "left").where(F.col("again") | (row > F.col("first")))
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
     repeats = repeats.select("doc_id", "text_key", "start", "end", F.coalesce("first.doc_id", "doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "text_key", "start", "end"])
@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the spans, in the columns of docs; a document may become empty and stays."""
     cuts, key, text_key = (free_name(docs, n) for n in ("_cuts", "_key", "_text_key"))
-    listed = spans.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts))
+    listed = cut_lineage(spans.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts)))
     joined = docs.join(listed, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text_key)), "left")
     # What stands before each cut and after the last one, joined once: the cuts are sorted and don't overlap.
     end_before = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1)["end"])
