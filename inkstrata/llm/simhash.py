@@ -11,8 +11,9 @@ The complete distance of each pair found is verified against `radius`. Groups ar
 connected components of verified pairs; the document with the least doc_id stays.
 
 The rows of a key come sorted, so a task holds a few MB and the bucket at hand. Small buckets
-are compared all together; in a large one each fingerprint meets only those that no earlier
-one has reached, so a bucket of near copies costs a few comparisons for each of them.
+are compared all together. In a large one each fingerprint meets only those that no earlier one
+has reached as long as that spares comparisons, so a bucket of near copies costs a few for each
+of them; the rest, which met by chance, are compared in blocks, each pair once in a bucket.
 
 Chance meets grow with the square of the classes over 2 to the power of a segment's bits (18).
 `bits`, `segment_count` and `radius` are parameters, refused where they aren't complete. More
@@ -47,7 +48,7 @@ from inkstrata.llm.words import normal, split_words
 
 BITS, SEGMENTS, RADIUS = 128, 7, 20
 SMALL = 256  # buckets of more classes are searched one by one
-PAIRS = 1 << 18  # pairs that are compared at a time
+PAIRS = 1 << 15  # pairs that are compared at a time
 CHUNK = 1 << 20  # rows of whole buckets that are compared together
 
 
@@ -114,40 +115,82 @@ def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             root[:] = up
 
 
+def _search(fp: np.ndarray, radius: int, room: list[np.ndarray]) -> np.ndarray:
+    """For each fingerprint of one bucket a row of its component over verified pairs, the same for all of the component.
+
+    While one group of near copies makes up much of the bucket, each row meets only those that no earlier one has
+    reached. As soon as that gains little, all others meet in blocks. room holds arrays to work in.
+    """
+    root, left = np.arange(len(fp)), np.arange(len(fp))
+    queue = np.empty(0, np.int64)  # rows of one component that have not met those left
+    tried = reached = 0
+    while len(left) and tried <= 2 + reached // 8:
+        if not len(queue):
+            queue, left = left[:1], left[1:]
+        one, queue = queue[0], queue[1:]
+        near = distances(fp[left], fp[one]) <= radius
+        found, left = left[near], left[~near]
+        root[found] = root[one]
+        queue = np.concatenate([queue, found])
+        tried, reached = tried + 1, reached + len(found)
+    if len(left):
+        rows = np.concatenate([queue, left])
+        words = np.ascontiguousarray(fp[rows].T)
+        tree = np.arange(len(rows))
+        tree[: len(queue)] = 0
+        at = 0
+        while at < len(rows):
+            begin = max(at, len(queue))  # the queue's rows need not meet one another
+            wide = len(rows) - begin
+            stop = min(at + max(1, PAIRS // wide), len(rows))
+            block = (stop - at) * wide
+            xor, count, apart = (r[:block] for r in room)
+            apart[:] = 0
+            for word in words:
+                np.bitwise_xor(word[at:stop, None], word[None, begin:], out=xor.reshape(stop - at, wide))
+                apart += np.bitwise_count(xor, out=count)
+            u, v = np.divmod(np.flatnonzero(apart <= radius), wide)
+            _join(tree, u + at, v + begin)
+            at = stop
+        root[rows] = root[rows[tree]]
+    return root
+
+
 def _forest(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, n: int, radius: int) -> np.ndarray:
     """Least node of each of n nodes' components over verified pairs with an equal key; keys are sorted."""
     root = np.arange(n)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        left = nodes[start : start + size]
-        found: list[np.ndarray] = []
-        queue: list[int] = []
-        while len(left):
-            if not queue:
-                queue, left = [int(left[0])], left[1:]
-            one = queue.pop()
-            near = distances(fp[left], fp[one]) <= radius
-            if near.any():
-                reached = left[near]
-                left = left[~near]
-                queue.extend(reached.tolist())
-                found.append(np.column_stack([np.full(len(reached), one), reached]))
-        if found:
-            _join(root, *np.concatenate(found).T)
     words = [np.ascontiguousarray(fp[:, k]) for k in range(fp.shape[1])]
+    total = np.uint8 if len(words) < 4 else np.uint16  # for the bits of all words
+    room = [np.empty(max(PAIRS, sizes.max(initial=0)), kind) for kind in (np.uint64, np.uint8, total)]
+    ties: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(members: np.ndarray, tree: np.ndarray) -> None:
+        tied = np.flatnonzero(tree != np.arange(len(tree)))
+        ties.append((members[tied], members[tree[tied]]))
+
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        members = nodes[start : start + size]
+        keep(members, _search(fp[members], radius, room))
     for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():  # all buckets of a size together
-        first, second = np.triu_indices(size, 1)
         begins = starts[sizes == size]
-        step = max(1, PAIRS // len(first))
+        step = max(1, PAIRS // size)
         for at in range(0, len(begins), step):
-            members = nodes[begins[at : at + step, None] + np.arange(size)]
-            apart = np.zeros((len(members), len(first)), np.uint16)
-            for word in words:
-                bits = word[members]
-                apart += np.bitwise_count(bits[:, first] ^ bits[:, second])
-            row, pair = np.nonzero(apart <= radius)
-            _join(root, members[row, first[pair]], members[row, second[pair]])
+            members = nodes[begins[at : at + step] + np.arange(size)[:, None]]  # a bucket is a column
+            flat, width = members.ravel(), members.shape[1]
+            own = [word[flat] for word in words]
+            found = [np.empty((2, 0), np.int64)]
+            for shift in range(width, len(flat), width):  # each row meets the one so many rows below
+                apart = sum((np.bitwise_count(word[shift:] ^ word[:-shift]) for word in own), total(0))
+                near = np.flatnonzero(apart <= radius)
+                if len(near):
+                    found.append(np.stack([near, near + shift]))
+            tree = np.arange(len(flat))
+            _join(tree, *np.concatenate(found, axis=1))
+            keep(flat, tree)
+    if ties:
+        _join(root, *(np.concatenate(side) for side in zip(*ties)))
     return root
 
 

@@ -311,6 +311,38 @@ def test_forest():
         assert (root == want).all()
 
 
+def test_large_buckets(monkeypatch):
+    """What meets by chance in a large bucket is compared in blocks and not row by row; whatever the blocks, no pair is lost."""
+    g = np.random.default_rng(11)
+    chance = g.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    chance[2500] = chance[7] ^ np.uint64(5)
+    chance[2999] = chance[2500] ^ np.array([0xFFFF00, 0], np.uint64)
+    passes, count = [], np.bitwise_count
+    with monkeypatch.context() as m:
+        m.setattr(np, "bitwise_count", lambda *a, **k: passes.append(1) or count(*a, **k))
+        root = simhash._forest(np.zeros(3000, int), np.arange(3000), chance, 3000, 20)
+    assert np.flatnonzero(root != np.arange(3000)).tolist() == [2500, 2999] and set(root[[2500, 2999]]) == {7}
+    assert len(passes) < 1000
+    # a group of copies that makes up most of the bucket, some reached only by way of others, two small groups and chance
+    one = chance[0] ^ (np.uint64(1) << g.integers(0, 64, (160, 2)).astype(np.uint64))
+    far = one[:40] ^ np.array([0x3FFFF, 0], np.uint64)
+    two, three = (chance[k] ^ (np.uint64(1) << g.integers(0, 64, (9, 2)).astype(np.uint64)) for k in (1, 2))
+    fp = np.concatenate([one, far, two, three, chance[100:140]])[g.permutation(258)]
+    near = np.array([simhash.distances(fp, f) <= 20 for f in fp])
+    want = np.arange(258)
+    while (new := np.array([want[row].min() for row in near])).tobytes() != want.tobytes():
+        want = new
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    for pairs in (1, 50, 1000, 1 << 15):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        for order in (np.arange(258), g.permutation(258), g.permutation(258)):
+            assert (simhash._forest(np.zeros(258, int), order, fp, 258, 20) == want).all()
+    # 256 bits, all of them different
+    assert simhash._forest(np.zeros(6, int), np.arange(6), np.array([[0] * 4, [2**64 - 1] * 4] * 3, np.uint64), 6, 20).tolist() == [0, 1] * 3
+    monkeypatch.setattr(simhash, "SMALL", 256)
+    assert simhash._forest(np.zeros(6, int), np.arange(6), np.array([[0] * 4, [2**64 - 1] * 4] * 3, np.uint64), 6, 20).tolist() == [0, 1] * 3
+
+
 def test_whole_buckets():
     import pyarrow as pa
 
