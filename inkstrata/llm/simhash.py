@@ -223,7 +223,9 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, segment_count: int = SEGM
             tied = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[root[tied]])], ["u", "v"])
 
-    spread = classes.select("node", *names).mapInArrow(balls, f"key long, node long, {fields}")
+    # A class becomes over a hundred rows, so tasks of the usual size would spill what they write.
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    spread = classes.select("node", *names).repartition(tasks, "node").mapInArrow(balls, f"key long, node long, {fields}")
     edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(match, "u long, v long")
     roots = components(edges)
     placed = classes.join(roots, "node", "left").select(*names, "first", F.coalesce("root", "node").alias("root"))

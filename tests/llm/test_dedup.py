@@ -343,6 +343,20 @@ def test_large_buckets(monkeypatch):
     assert simhash._forest(np.zeros(6, int), np.arange(6), np.array([[0] * 4, [2**64 - 1] * 4] * 3, np.uint64), 6, 20).tolist() == [0, 1] * 3
 
 
+def test_keys_are_made_in_many_tasks(spark, monkeypatch):
+    """Small as the table of classes is, its keys are not: as many tasks make them as the session's shuffles ask for, over four."""
+    plans = []
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or components(edges))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        rows = near_rows(9, 20)
+        assert dict(tuples(simhash.near_duplicates(documents(spark, rows)).drop("text_key", "kept_text_key"))) == groups_spec(rows)[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert any("RepartitionByExpression [node" in line and line.endswith(", 3") for line in plans[0].splitlines())
+
+
 def test_whole_buckets():
     import pyarrow as pa
 
