@@ -203,6 +203,19 @@ def test_files(spark, tmp_path):
     assert tuple(row) == ("第 一+", "a\nb\nc\n", None, "- x")
 
 
+def test_empty_files(spark, tmp_path):
+    folder = tmp_path / "docs"
+    files.write_documents(spark.createDataFrame([(1, ""), (2, "a"), (3, None)], "doc_id long, text string"), str(folder))
+    (folder / ".4.md.77.part").write_text("half")
+    (folder / "_SUCCESS").write_text("")
+    want = [("1", ""), ("2", "a"), ("3", "")]
+    for path in (str(folder), f"file://{folder}/", f"{folder}/*.md", f"{tmp_path}/d[n-p]cs/{{1,[2-3]}}.md", str(tmp_path / "*"), [f"{folder}/{n}.md" for n in (1, 2, 3)]):
+        assert sorted(map(tuple, files.read_documents(spark, path).collect())) == want
+    assert files.read_documents(spark, f"{folder}/x*.md").collect() == []
+    with pytest.raises(FileNotFoundError):
+        files.read_documents(spark, str(tmp_path / "none"))
+
+
 def test_names_and_template(spark):
     df = spark.createDataFrame([("p/x.y.md",), ("none",)], "p string")
     assert [tuple(r.n) for r in df.select(files.three_names(F.col("p")).alias("n")).collect()] == [
