@@ -505,9 +505,8 @@ def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as a JSON file a document, read again and held against the number of segments."""
     folder = new_folder(spark, "results")
-    joined = _joined(spark, sf_dir)
-    files.write_documents(files.results_json(joined), folder, ".json")
-    segments = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no")
+    files.write_documents(files.results_json(_joined(spark, sf_dir)), folder, ".json")
+    segments = _segments(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "seg_no")
     return files.checked_results(segments, files.read_results(spark, folder)).select("doc_id", "seg_no", F.md5(F.col("output").cast("binary")).alias("digest"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as X
@@ -174,13 +174,15 @@ def read_results(spark: SparkSession, paths: str | list[str], suffix: str = ".js
 
 
 def checked_results(segments: DataFrame, results: DataFrame) -> DataFrame:
-    """Results, with an error when run if a document has as many results as not segments; documents without results are new."""
+    """Results, with an error when run if a document has as many results as not segments; documents without results are new.
+
+    The results are counted where they meet by document, so that their files are read once.
+    """
     want = segments.groupBy("doc_id").agg(F.count("*").alias("_want"))
-    have = results.groupBy("doc_id").agg(F.count("*").alias("_have"))
-    sizes = have.join(want, "doc_id", "left")
+    counted = results.withColumn("_have", F.count("*").over(Window.partitionBy("doc_id")))
     message = F.concat(F.lit("results and segments of "), F.col("doc_id"), F.lit(" differ in number"))
     bad = F.when(F.col("_have") == F.coalesce("_want", F.lit(0)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-    return results.join(sizes.where(bad).select("doc_id"), "doc_id").select(results.columns)
+    return counted.join(want, "doc_id", "left").where(bad).select(results.columns)
 
 
 def read_triples(spark: SparkSession, target: str, context: str | None = None, reference: str | None = None) -> DataFrame:

@@ -216,6 +216,28 @@ def test_empty_files(spark, tmp_path):
         files.read_documents(spark, str(tmp_path / "none"))
 
 
+def test_many_files_few_tasks(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"))
+    files.write_documents(docs, str(tmp_path / "many"))
+    found = files.read_documents(spark, str(tmp_path / "many"))
+    assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert {(r.doc_id, len(r.text)) for r in found.collect()} == {(str(k), k % 7) for k in range(3000)}
+
+
+def test_results_read_once(spark):
+    segs = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "doc_id string, seg_no int, target string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(len(batch))
+            yield batch
+
+    results = spark.createDataFrame([("a", 0, "X"), ("a", 1, None)], "doc_id string, seg_no int, output string").mapInPandas(count, "doc_id string, seg_no int, output string")
+    assert sorted(map(tuple, files.checked_results(segs, results).collect())) == [("a", 0, "X"), ("a", 1, None)]
+    assert seen.value == 2
+
+
 def test_names_and_template(spark):
     df = spark.createDataFrame([("p/x.y.md",), ("none",)], "p string")
     assert [tuple(r.n) for r in df.select(files.three_names(F.col("p")).alias("n")).collect()] == [
