@@ -11,13 +11,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstrata.functions import text as X
+from inkstrata.functions.rows import by_row
 from inkstrata.functions.types import DIFF_PART, OPCODE
 from inkstrata.operators.split import split_by_title
 from inkstrata.sources.files import write_documents
@@ -98,16 +97,12 @@ def line_diff(a: Column, b: Column, context: bool = False, numlines: int = 3) ->
     """Struct (ops, html) of two texts; ops are in lines after tidying."""
     kind = T.StructType([T.StructField("ops", T.ArrayType(OPCODE)), T.StructField("html", T.StringType())])
 
-    @F.pandas_udf(kind)
-    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(xs, ys):
-            p, q = (x or "").splitlines(), (y or "").splitlines()
-            ops = difflib.SequenceMatcher(None, tidy(p), tidy(q), autojunk=False).get_opcodes()
-            rows.append(([dict(zip(OPCODE.names, o)) for o in ops], line_table(p, q, context, numlines)))
-        return pd.DataFrame(rows, columns=["ops", "html"])
+    def run(x: str | None, y: str | None) -> dict:
+        p, q = (x or "").splitlines(), (y or "").splitlines()
+        ops = difflib.SequenceMatcher(None, tidy(p), tidy(q), autojunk=False).get_opcodes()
+        return {"ops": [dict(zip(OPCODE.names, o)) for o in ops], "html": line_table(p, q, context, numlines)}
 
-    return run(a, b)
+    return by_row(run, kind)(a, b)
 
 
 WORD = re.compile(r"\s+|[一-鿿]|[^\W一-鿿]+|[^\w\s]")
@@ -302,21 +297,7 @@ def word_parts(a: str, b: str, most: int = 1000) -> list[tuple[str, str]]:
 def word_diff(a: Column, b: Column) -> Column:
     """Array of (op, value); a null is an empty text."""
 
-    @F.arrow_udf(T.ArrayType(DIFF_PART))
-    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        done = []
-        for start in range(0, max(len(xs), 1), 200):  # as Arrow arrays, the parts take little more than their texts
-            ends, ops, values = [0], [], []
-            for x, y in zip(xs.slice(start, 200), ys.slice(start, 200)):
-                for op, value in word_parts(x.as_py() or "", y.as_py() or ""):
-                    ops.append(op)
-                    values.append(value)
-                ends.append(len(ops))
-            parts = pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(values, pa.string())], DIFF_PART.names)
-            done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts))
-        return pa.concat_arrays(done)
-
-    return run(a, b)
+    return by_row(lambda x, y: [dict(zip(DIFF_PART.names, part)) for part in word_parts(x or "", y or "")], T.ArrayType(DIFF_PART))(a, b)
 
 
 WORD_PAGE = """<!DOCTYPE html>

@@ -11,32 +11,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstrata.functions.rows import by_row
 from inkstrata.functions.types import MATCH
 
 PLACED = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("match", MATCH)])
-ARROW_PLACED = pa.struct(
-    [
-        ("pos", pa.int32()),
-        (
-            "match",
-            pa.struct(
-                [
-                    ("fragment_text", pa.string()),
-                    ("modified_text", pa.string()),
-                    ("real_text", pa.string()),
-                    ("location", pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                    ("ratio", pa.float64()),
-                ]
-            ),
-        ),
-    ]
-)
 LISTED = 1000  # replacements for all documents that are looked for in one call
 SENT = 32 << 20  # bytes of replacements that are sent to the tasks at once
 
@@ -97,32 +79,24 @@ def best_window(text: str, fragment: str, len_offset: int = 3) -> tuple[int, int
     return best
 
 
-def _match(text: str | None, fragment: str | None, modified: str | None, len_offset: int) -> tuple:
+def _match(text: str | None, fragment: str | None, modified: str | None, len_offset: int) -> dict:
     hit = best_window(text, fragment, len_offset) if text and fragment else None
-    return (fragment, modified, text[hit[0] : hit[1]] if hit else None, {"start": hit[0], "end": hit[1]} if hit else None, hit[2] if hit else 0.0)
+    found = (fragment, modified, text[hit[0] : hit[1]] if hit else None, {"start": hit[0], "end": hit[1]} if hit else None, hit[2] if hit else 0.0)
+    return dict(zip(MATCH.names, found))
 
 
 def match_struct(text: Column, fragment: Column, modified: Column, len_offset: int = 3) -> Column:
     """A match record of the best window; real_text and location are null and ratio 0 if there is none."""
-
-    @F.pandas_udf(MATCH)
-    def run(texts: pd.Series, fragments: pd.Series, changed: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_match(t, f, m, len_offset) for t, f, m in zip(texts, fragments, changed)], columns=MATCH.names)
-
-    return run(text, fragment, modified)
+    return by_row(lambda t, f, m: _match(t, f, m, len_offset), MATCH)(text, fragment, modified)
 
 
 def matches_of(text: Column, wanted: Column, len_offset: int = 3) -> Column:
     """Array of (pos, match) for an array of (pos, fragment, modified), in its order: a text goes to Python once, whatever is looked for."""
 
-    @F.arrow_udf(T.ArrayType(PLACED))
-    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = []
-        for t, ws in zip(texts.to_pylist(), lists.to_pylist()):
-            rows.append([{"pos": w["pos"], "match": dict(zip(MATCH.names, _match(t, w["fragment"], w["modified"], len_offset)))} for w in ws or []])
-        return pa.array(rows, pa.list_(ARROW_PLACED))
+    def run(t: str | None, ws: list[dict] | None) -> list[dict]:
+        return [{"pos": w["pos"], "match": _match(t, w["fragment"], w["modified"], len_offset)} for w in ws or []]
 
-    return run(text, wanted)
+    return by_row(run, T.ArrayType(PLACED))(text, wanted)
 
 
 def _cuts(replacements: DataFrame) -> tuple[int, int]:

@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from inkstrata.functions import rows
 from inkstrata.operators import diff, match
 
 
@@ -124,3 +126,24 @@ def test_tidy(spark):
     for r in diff.tidy_lines(rows).orderBy("doc_id", "line_no").collect():
         got.setdefault(r.doc_id, []).append(r.line)
     assert got == {d: t for d, ls in docs.items() if (t := diff.tidy(ls))}
+
+
+def test_rows_are_not_gathered():
+    """Results go back before the batch is done: as many are held as make HELD, whatever their shape."""
+    for large, kind in (("y" * (rows.HELD // 4), pa.string()), ([{"v": "y" * (rows.HELD // 8)}] * 2, pa.list_(pa.struct([("v", pa.string())])))):
+        called = []
+        out = rows.results(lambda x, large=large, called=called: called.append(x) or large, kind, iter([pa.array(range(100)), pa.array([], pa.int64()), pa.array([7, None])]))
+        sizes = []
+        for part in out:
+            sizes.append(len(part))
+            assert len(called) == sum(sizes)
+        assert sum(sizes) == 102 and max(sizes) <= 4 and called[-2:] == [7, None]
+
+
+def test_line_diff_goes_back_in_parts(spark):
+    """Batches of Spark are no bounds of what goes back: each row keeps its own result, nulls and two columns in one query included."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 != 0, F.concat(F.lit("a\n"), "id", F.repeat(F.lit("\nz"), 30))).alias("a"))
+    both = df.select("id", diff.line_diff(F.col("a"), F.replace("a", F.lit("a\n"), F.lit("b\n"))).alias("l"), diff.word_diff(F.col("a"), F.lit("")).alias("w"), "a")
+    for r in both.collect():
+        assert [o.tag for o in r.l.ops] == (["replace", "equal"] if r.id % 10 else []) and (not r.id % 10 or f">{r.id}</td>" in r.l.html)
+        assert [tuple(p) for p in r.w] == ([("delete", r.a)] if r.a else [])
