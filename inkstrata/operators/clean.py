@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstrata.functions import text as X
+from inkstrata.functions.rows import by_row
 from inkstrata.functions.types import STYLED
 
 
@@ -163,10 +163,9 @@ def join_broken(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def mark_letter_footnotes(text: pd.Series) -> pd.Series:
+def mark_letter_footnotes(text: Column | str) -> Column:
     """letter_footnotes over the LF lines of a text."""
-    return text.map(lambda t: None if t is None else "\n".join(letter_footnotes(t.split("\n"))))
+    return by_row(lambda t: None if t is None else "\n".join(letter_footnotes(t.split("\n"))), T.StringType())(text)
 
 
 @F.pandas_udf(T.StringType())
