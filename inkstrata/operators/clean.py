@@ -168,9 +168,8 @@ def mark_letter_footnotes(text: Column | str) -> Column:
     return by_row(lambda t: None if t is None else "\n".join(letter_footnotes(t.split("\n"))), T.StringType())(text)
 
 
-@F.pandas_udf(T.StringType())
-def join_broken_lines(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else join_broken(t))
+def join_broken_lines(text: Column | str) -> Column:
+    return by_row(lambda t: None if t is None else join_broken(t), T.StringType())(text)
 
 
 def squeeze_blank_lines(text: Column) -> Column:
