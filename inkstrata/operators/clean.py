@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +45,13 @@ def restyle(text: str, templates: dict[int, str], default: str | None = None, st
 def mark_styles(text: Column, templates: Column, default: str | None = None, strict: bool = False) -> Column:
     """Struct (text, log) of restyle; templates is a map<int, string> column."""
 
-    @F.pandas_udf(STYLED)
-    def run(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if t is None else restyle(t, dict(m) if m is not None else {}, default, strict) for t, m in zip(texts, maps)]
-        return pd.DataFrame({"text": [r[0] for r in rows], "log": [None if r[1] is None else [{"orig": a, "new": b} for a, b in r[1]] for r in rows]})
+    def run(t: str | None, m: list[tuple[int, str]] | None) -> dict:
+        if t is None:
+            return {"text": None, "log": None}
+        new, log = restyle(t, dict(m or []), default, strict)
+        return {"text": new, "log": [{"orig": a, "new": b} for a, b in log]}
 
-    return run(text, templates)
+    return by_row(run, STYLED)(text, templates)
 
 
 def parse_toc(tocs: DataFrame, indent: int = 4, base_level: int = 1) -> DataFrame:

@@ -2,9 +2,11 @@ import random
 import re
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from inkstrata.functions import text as X
 from inkstrata.operators import clean
+from inkstrata.sources import convert
 
 
 def one(spark, column, *values):
@@ -97,3 +99,29 @@ def test_clean_books(spark):
     got = {r.doc_id: r.text for r in clean.clean_books(docs, tocs, styles).collect()}
     assert got["n"] is None and got["e"] == ""
     assert got["a"] == "\n# 甲 乙\n\n**x**\n[^a]: note\n\n" + "字" * 31 + "末"
+
+
+def test_texts_stay_arrow_data(spark):
+    """The columns in Python take an iterator of batches and give results back in parts; a whole batch of 10,000 is never held as Python values."""
+    columns = {
+        "letters": clean.mark_letter_footnotes(F.col("text")), "joined": clean.join_broken_lines(F.col("text")), "page": convert.html_to_markdown("text"),
+        "styled": clean.mark_styles(F.col("text"), F.create_map(F.lit(1), F.lit("**$1**")))["text"],
+    }
+    text = F.when(F.col("id") % 3 != 0, F.concat(F.lit("a note\n<b>[x]{.s1} a "), "id", F.lit("</b>")))
+    df = spark.range(12000).repartition(1).select("id", text.alias("text"))
+    for r in df.select("id", *(c.alias(n) for n, c in columns.items())).collect():
+        if r.id % 3 == 0:
+            assert tuple(r)[1:] == (None,) * 4
+        else:
+            want = (f"[^a]: note\n\n<b>[x]{{.s1}} [^a] {r.id}</b>", f"a note\n<b>[x]{{.s1}} a {r.id}</b>", f"a note **[x]{{.s1}} a {r.id}**", f"a note\n<b>**x** a {r.id}</b>")
+            assert tuple(r)[1:] == want
+
+
+def test_python_columns_are_iterators(spark):
+    """Spark's type of such a function is 'iterator of Arrow arrays' ; a function of whole batches has another."""
+    ways = (lambda: clean.mark_letter_footnotes("t"), lambda: clean.join_broken_lines("t"), lambda: convert.html_to_markdown("t"), lambda: clean.mark_styles(F.col("t"), F.create_map(F.lit(1), F.lit("x"))))
+    df = spark.createDataFrame([("x",)], "t string")
+    for way in ways:
+        plan = df.select(way())._jdf.queryExecution().executedPlan()
+        found = [p for p in (plan.apply(k) for k in range(8)) if p is not None and "ArrowEvalPython" in p.nodeName()]
+        assert [p.evalType() for p in found] == [PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF]
