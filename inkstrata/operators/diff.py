@@ -266,6 +266,8 @@ def word_parts(a: str, b: str, most: int = 1000) -> list[tuple[str, str]]:
     shortest one for any two texts; `most` only says to how many edits the search by edits
     is tried first.
     """
+    if a == b:
+        return [("equal", a)] if a else []
     x, y = WORD.findall(a), WORD.findall(b)
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:

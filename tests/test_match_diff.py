@@ -147,3 +147,14 @@ def test_line_diff_goes_back_in_parts(spark):
     for r in both.collect():
         assert [o.tag for o in r.l.ops] == (["replace", "equal"] if r.id % 10 else []) and (not r.id % 10 or f">{r.id}</td>" in r.l.html)
         assert [tuple(p) for p in r.w] == ([("delete", r.a)] if r.a else [])
+
+
+def test_word_parts_of_equal_texts(monkeypatch):
+    monkeypatch.setattr(diff, "WORD", None)  # they aren't cut into words
+    assert diff.word_parts("a b\n字", "a b\n字") == [("equal", "a b\n字")] and diff.word_parts("", "") == []
+
+
+def test_first_of_equal_windows():
+    """Of windows of one length and ratio the first counts, also where a later one has its other character at the same place."""
+    text = "x| enster | e, | enstge | e."
+    assert match.best_window(text, "| enst≠e | e") == (1, 13, best_spec(text, "| enst≠e | e")[2]) and best_spec(text, "| enst≠e | e")[:2] == (1, 13)
