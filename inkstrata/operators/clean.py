@@ -54,16 +54,22 @@ def mark_styles(text: Column, templates: Column, default: str | None = None, str
     return by_row(run, STYLED)(text, templates)
 
 
+def restyled(text: Column, templates: Column, default: str | None = None) -> Column:
+    """The text of mark_styles alone."""
+    return by_row(lambda t, m: None if t is None else restyle(t, dict(m or []), default)[0], T.StringType())(text, templates)
+
+
 def parse_toc(tocs: DataFrame, indent: int = 4, base_level: int = 1) -> DataFrame:
     """(doc_id, toc_no, name, level) from the bullet lines of a table of contents."""
-    lines = tocs.select("doc_id", F.posexplode(X.lf_lines(F.col("text"))).alias("line_no", "line"))
-    line = F.col("line")
-    name = F.regexp_replace(F.regexp_replace(line, rf"(?U)^{X.WS}*([*+-])\1*", ""), r"(?U)[\s\x1c-\x1f\da-zA-Z\[\]{}.^…]", "")
-    lead = F.length(F.regexp_extract(line, rf"(?U)^({X.WS}*)", 1))
-    items = lines.where(line.rlike(rf"(?U)^{X.WS}*[*+-]")).select(
-        "doc_id", F.col("line_no").alias("toc_no"), name.alias("name"), (F.floor(lead / indent) + base_level).cast("int").alias("level")
-    )
-    return items.where("name <> ''")
+
+    def item(line: Column, no: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(line, rf"(?U)^{X.WS}*([*+-])\1*", ""), r"(?U)[\s\x1c-\x1f\da-zA-Z\[\]{}.^…]", "")
+        lead = F.length(F.regexp_extract(line, rf"(?U)^({X.WS}*)", 1))
+        level = (F.floor(lead / indent) + base_level).cast("int")
+        return F.when(line.rlike(rf"(?U)^{X.WS}*[*+-]"), F.struct(no.alias("toc_no"), name.alias("name"), level.alias("level")))
+
+    # As elements of an array, names are made once and not again for the condition.
+    return tocs.select("doc_id", F.inline(F.filter(F.transform(X.lf_lines(F.col("text")), item), lambda x: x["name"] != "")))
 
 
 def mark_titles(lines: DataFrame, toc: DataFrame) -> DataFrame:
@@ -229,8 +235,10 @@ def number_footnotes_in(text: Column) -> Column:
 
 def toc_levels(toc: DataFrame) -> DataFrame:
     """(doc_id, levels): a map of each document's TOC names to levels; of equal names the last item decides."""
-    last = toc.groupBy("doc_id", "name").agg(F.max_by("level", "toc_no").alias("level"))
-    return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "level"))).alias("levels"))
+    items = F.array_sort(F.collect_list(F.struct("name", "toc_no", "level")))
+    is_last = lambda xs: lambda x, i: ~F.get(xs, i + 1)["name"].eqNullSafe(x["name"])
+    last = X.let(F.col("items"), lambda xs: F.transform(F.filter(xs, is_last(xs)), lambda x: F.struct(x["name"], x["level"])))
+    return toc.groupBy("doc_id").agg(items.alias("items")).select("doc_id", F.map_from_entries(last).alias("levels"))
 
 
 def mark_titles_in(text: Column, levels: Column) -> Column:
@@ -265,7 +273,7 @@ def clean_books(docs: DataFrame, tocs: DataFrame, styles: DataFrame | None = Non
     else:
         maps = styles.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "template"))).alias("styles"))
         books = books.join(maps, "doc_id", "left")
-    books = books.select("doc_id", mark_styles(text, F.col("styles"), default)["text"].alias("text"))
+    books = books.select("doc_id", restyled(text, F.col("styles"), default).alias("text"))
     smooth = books.select("doc_id", join_headings(squeeze_blank_lines(strip_line_heads(number_footnotes_in(text)))).alias("text"))
     titled = smooth.join(toc_levels(parse_toc(tocs)), "doc_id", "left").select("doc_id", mark_titles_in(text, F.col("levels")).alias("text"))
     return titled.select("doc_id", join_wrong_splits(text).alias("text"))

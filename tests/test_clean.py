@@ -125,3 +125,18 @@ def test_python_columns_are_iterators(spark):
         plan = df.select(way())._jdf.queryExecution().executedPlan()
         found = [p for p in (plan.apply(k) for k in range(8)) if p is not None and "ArrowEvalPython" in p.nodeName()]
         assert [p.evalType() for p in found] == [PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF]
+
+
+def test_toc_levels(spark):
+    rows = [("a", 3, "甲", 2), ("a", 10, "甲", 1), ("a", 4, "乙", 3), ("a", 9, "甲", 4), ("b", 0, "甲", 5)]
+    toc = spark.createDataFrame(rows, "doc_id string, toc_no int, name string, level int").repartition(3)
+    found = clean.toc_levels(toc)
+    assert {r.doc_id: r.levels for r in found.collect()} == {"a": {"甲": 1, "乙": 3}, "b": {"甲": 5}}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_parse_toc_makes_names_once(spark):
+    tocs = spark.createDataFrame([("a", "- 甲 x\n     * 乙…12\n丙\n- 12"), ("b", None), ("c", "")], "doc_id string, text string")
+    found = clean.parse_toc(tocs)
+    assert sorted(map(tuple, found.collect())) == [("a", 0, "甲", 1), ("a", 1, "乙", 2)] and found.columns == ["doc_id", "toc_no", "name", "level"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
